@@ -30,9 +30,9 @@ from .common import durable
 
 CAPACITY = 1024
 #: Classes that a cut may aim at; shorter pieces take a power of two per sequence.
-MAX_CLASS = 32
+MAX_CLASS = 64
 #: A cut is made if it saves more than so many padded tokens and leaves no shorter piece than this.
-MIN_SAVED, MIN_PIECE = 12, 32
+MIN_SAVED, MIN_PIECE = 8, 8
 #: Workers whose remainders are filled together at each level.
 FAN_IN = 16
 
