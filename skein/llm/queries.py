@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, harmonic
+from . import bpe, fastsim, harmonic
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op7_harmonic_packing)}
+def op10_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastsim.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op7_harmonic_packing, op10_fast_similarity)}
 
 ORACLE_SQL: dict[str, str] = {}
