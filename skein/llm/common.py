@@ -98,3 +98,15 @@ def fresh_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in low:
         wanted += "_"
     return wanted
+
+
+_memo: dict[str, object] = {}
+
+
+def worker_memo(key: str, make):
+    """make() once per key in this Python process; only the last few keys are held."""
+    if key not in _memo:
+        while len(_memo) > 2:
+            _memo.pop(next(iter(_memo)))
+        _memo[key] = make()
+    return _memo[key]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fastsim, harmonic
+from . import bpe, fastsim, harmonic, knnquality, langmask
+from .common import id_remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def held_out(modulus: int = 4):
+    """doc_id's remainder is 2; false for a null doc_id."""
+    return F.coalesce(id_remainder(F.col("doc_id"), modulus) == 2, F.lit(False))
+
+
+def op6_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = langmask.learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+    return langmask.predict(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = knnquality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return knnquality.predict(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,6 +43,6 @@ def op10_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastsim.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op7_harmonic_packing, op10_fast_similarity)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op6_language_masks, op9_quality_neighbours, op7_harmonic_packing, op10_fast_similarity)}
 
 ORACLE_SQL: dict[str, str] = {}
