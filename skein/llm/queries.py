@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fastsim, harmonic, iblt, knnquality, langmask
+from . import bpe, fastsim, harmonic, iblt, knnquality, langmask, linechunks
 from .common import id_remainder
 
 
@@ -33,6 +33,10 @@ def op6_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmask.predict(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linechunks.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = knnquality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
@@ -47,6 +51,6 @@ def op10_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastsim.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_invertible_sketch, op6_language_masks, op9_quality_neighbours, op7_harmonic_packing, op10_fast_similarity)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_invertible_sketch, op6_language_masks, op9_quality_neighbours, op7_harmonic_packing, op8_line_chunks, op10_fast_similarity)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_chunks": linechunks.ORACLE}
