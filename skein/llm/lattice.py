@@ -1,8 +1,8 @@
 """Marginal log-likelihood of texts under a subword unigram model.
 
 The pieces are those of an existing tokenizer model file; their probabilities are
-learned from the training rows, by counting the pieces of each distinct word times
-how often the word occurs. A word's probability sums over all its segmentations
+learned from the training rows by expectation maximisation: the expected pieces of
+each distinct word, times how often the word occurs. A word's probability sums over all its segmentations
 into pieces, by a forward recursion in log space; a text is its words, each with a
 leading word mark, then an end token. Since no piece reaches over a word mark
 other than at its start, the lattice of a text is the chain of its words'
@@ -35,6 +35,8 @@ from .common import durable, id_remainder, words_of, worker_memo
 MARK = "▁"
 HEAD_WORDS, HEAD_WORD_BYTES = 100_000, 48
 CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 80
+#: Rounds of expectation maximisation on so many frequent words, before the one over all words.
+EM_HEAD, EM_HEAD_WORDS, EM_WORD_CHARS = 6, 20_000, 40
 LN10 = math.log(10)
 #: Added to each piece's count.
 SMOOTHING = 0.1
@@ -42,31 +44,105 @@ SMOOTHING = 0.1
 
 @dataclass
 class Pieces:
-    """log_p: natural log-probability of each piece text; byte_log_p: of the 256 byte pieces; end_log_p."""
+    """trie: natural log-probability of each piece, None for each beginning of one; byte_log_p: of the 256 byte pieces."""
 
-    log_p: dict[str, float]
+    trie: dict[str, float | None]
     byte_log_p: list[float]
     end_log_p: float
-    longest: int
+
+    @classmethod
+    def of(cls, names: list[str], byte_ids: dict[int, int], counts: list[float], ends: float) -> Pieces:
+        """counts: by piece; names: text of each piece that a word can hold, None for the others."""
+        total = math.log(sum(counts) + ends + SMOOTHING * (len(counts) + 1))
+        trie: dict[str, float | None] = {}
+        for name, c in zip(names, counts, strict=True):
+            if name is not None:
+                for k in range(1, len(name)):
+                    trie.setdefault(name[:k], None)
+                trie[name] = math.log(c + SMOOTHING) - total
+        least = math.log(SMOOTHING) - total
+        return cls(trie, [math.log(counts[byte_ids[b]] + SMOOTHING) - total if b in byte_ids else least for b in range(256)], math.log(ends + SMOOTHING) - total)
+
+    def bytes_log_p(self, char: str) -> float:
+        return sum(self.byte_log_p[b] for b in char.encode("utf-8", "surrogatepass"))
 
 
 def word_log_p(word: str, m: Pieces) -> float:
-    """log of the sum over all segmentations of the marked word; a character that is no piece is its bytes."""
+    """log of the sum over all segmentations of the marked word; a character that is no piece is its bytes.
+
+    The forward recursion in log space: terms[e] are the ways to reach e, and their
+    log-sum is known when e is the next start.
+    """
     text = MARK + word
-    get, longest, n = m.log_p.get, m.longest, len(text)
+    trie, n = m.trie, len(text)
     exp, log = math.exp, math.log
-    alpha = [0.0] * (n + 1)
-    for end in range(1, n + 1):
-        terms = []
-        for start in range(max(0, end - longest), end):
-            p = get(text[start:end])
+    terms: list[list[float]] = [[] for _ in range(n + 1)]
+    terms[0].append(0.0)
+    top = 0.0
+    for start in range(n + 1):
+        ways = terms[start]
+        if len(ways) == 1:
+            here = ways[0]
+        else:
+            top = max(ways)
+            here = top + log(sum([exp(t - top) for t in ways]))
+        terms[start] = ways = ()
+        if start == n:
+            return here
+        if trie.get(text[start]) is None:
+            terms[start + 1].append(here + m.bytes_log_p(text[start]))
+        for end in range(start + 1, n + 1):
+            p = trie.get(text[start:end], 0)
+            if p == 0:
+                break
             if p is not None:
-                terms.append(alpha[start] + p)
-        if get(text[end - 1]) is None:
-            terms.append(alpha[end - 1] + sum(m.byte_log_p[b] for b in text[end - 1].encode("utf-8", "surrogatepass")))
-        top = max(terms)
-        alpha[end] = top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms]))
-    return alpha[n]
+                terms[end].append(here + p)
+    raise AssertionError
+
+
+def expected_counts(words: list[str], counts: list[int], m: Pieces, found: dict[str, float], found_bytes: list[float]) -> None:
+    """Add to found the expected occurrences of each piece over all segmentations (forward and backward)."""
+    trie = m.trie
+    exp = math.exp
+    for word, c in zip(words, counts, strict=True):
+        if len(word) > EM_WORD_CHARS:  # split, so that no probability underflows
+            parts = [word[i : i + EM_WORD_CHARS] for i in range(0, len(word), EM_WORD_CHARS)]
+        else:
+            parts = [word]
+        for part in parts:
+            text = MARK + part
+            n = len(text)
+            alpha = [0.0] * (n + 1)
+            alpha[0] = 1.0
+            edges = []
+            for start in range(n):
+                here = alpha[start]
+                if trie.get(text[start]) is None:
+                    p = exp(m.bytes_log_p(text[start]))
+                    alpha[start + 1] += here * p
+                    edges.append((start, start + 1, p, None))
+                for end in range(start + 1, n + 1):
+                    name = text[start:end]
+                    p = trie.get(name, 0)
+                    if p == 0:
+                        break
+                    if p is not None:
+                        p = exp(p)
+                        alpha[end] += here * p
+                        edges.append((start, end, p, name))
+            if not alpha[n] > 0:
+                continue
+            beta = [0.0] * (n + 1)
+            beta[n] = c / alpha[n]
+            for start, end, p, name in reversed(edges):
+                p *= beta[end]
+                beta[start] += p
+                p *= alpha[start]
+                if name is None:
+                    for b in text[start].encode("utf-8", "surrogatepass"):
+                        found_bytes[b] += p
+                else:
+                    found[name] = found.get(name, 0.0) + p
 
 
 def _processor(path: str):
@@ -98,31 +174,57 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def learn_pieces(words: DataFrame, ends: int, model_path: str) -> Pieces:
-    """Piece probabilities from (word, c); the result has one entry per piece of the model file."""
-
-    def run(batches):
-        sp = _processor(model_path)
-        found: Counter = Counter()
-        for batch in batches:
-            names, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(names), 5000):
-                for ids, c in zip(sp.encode(names[at : at + 5000], num_threads=1), counts[at : at + 5000], strict=True):
-                    for i in ids:
-                        found[i] += c
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["piece", "c"])
+def learn_pieces(words: DataFrame, head: list[tuple[str, int]], ends: int, model_path: str) -> Pieces:
+    """Probabilities of the pieces of the model file, for the training words (word, c).
 
+    They start from the tokenizer's own segmentation of the most frequent words,
+    go through EM_HEAD rounds of expectation maximisation on these (a bounded
+    list), and end with one round over every distinct word, weighted by its count.
+    """
     sp = _processor(model_path)
-    counts = {r.piece: r.c for r in words.select("word", "c").mapInArrow(run, "piece long, c long").groupBy("piece").agg(F.sum("c").alias("c")).collect()}
     size = sp.vocab_size()
-    total = math.log(sum(counts.values()) + ends + SMOOTHING * (size + 1))
-    of = lambda i: math.log(counts.get(i, 0) + SMOOTHING) - total
-    plain = {sp.id_to_piece(i): of(i) for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+    names: list[str | None] = [None if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) else sp.id_to_piece(i) for i in range(size)]
     # a piece with a mark elsewhere than at its start can be part of no word
-    plain = {p: v for p, v in plain.items() if MARK not in p[1:]}
-    by = {int(sp.id_to_piece(i)[3:-1], 16): of(i) for i in range(size) if sp.is_byte(i)}
-    least = math.log(SMOOTHING) - total
-    return Pieces(plain, [by.get(b, least) for b in range(256)], math.log(ends + SMOOTHING) - total, max(map(len, plain)))
+    names = [None if x is None or MARK in x[1:] else x for x in names]
+    byte_ids = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(size) if sp.is_byte(i)}
+    place = {x: i for i, x in enumerate(names) if x is not None}
+
+    def as_list(found: dict[str, float], found_bytes: list[float]) -> list[float]:
+        out = [0.0] * size
+        for x, c in found.items():
+            out[place[x]] = c
+        for b, i in byte_ids.items():
+            out[i] = found_bytes[b]
+        return out
+
+    counts = [0.0] * size
+    for ids, (_, c) in zip(sp.encode([w for w, _ in head], num_threads=1) if head else [], head, strict=True):
+        for i in ids:
+            counts[i] += c
+    told, seen = [w for w, _ in head], [c for _, c in head]
+    for _ in range(EM_HEAD):
+        found, found_bytes = {}, [0.0] * 256
+        expected_counts(told, seen, Pieces.of(names, byte_ids, counts, ends), found, found_bytes)
+        counts = as_list(found, found_bytes)
+    held = words.sparkSession.sparkContext.broadcast(Pieces.of(names, byte_ids, counts, ends))
+
+    def run(batches):
+        found, found_bytes = {}, [0.0] * 256
+        for batch in batches:
+            expected_counts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), held.value, found, found_bytes)
+        spelled = {f"byte {b}": c for b, c in enumerate(found_bytes) if c} | found
+        yield pa.RecordBatch.from_arrays([pa.array(list(spelled), pa.string()), pa.array(list(spelled.values()), pa.float64())], names=["piece", "c"])
+
+    # rounded, so that the order of addition leaves no trace
+    total = words.select("word", "c").mapInArrow(run, "piece string, c double").groupBy("piece").agg(F.sum(F.round("c", 3)).alias("c")).collect()
+    found_bytes = [0.0] * 256
+    found = {}
+    for r in total:
+        if r.piece.startswith("byte "):
+            found_bytes[int(r.piece[5:])] = r.c
+        else:
+            found[r.piece] = r.c
+    return Pieces.of(names, byte_ids, as_list(found, found_bytes), ends)
 
 
 def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
@@ -136,9 +238,10 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     stats = words.agg(F.sum("c"), F.count("*")).first()
     # the end counts as a token and, once seen, as a distinct one
     n_train, distinct = (stats[0] or 0) + ends, stats[1] + (ends > 0)
-    pieces = learn_pieces(words, ends, model_path)
     head_rows = words.where(F.octet_length("word") <= HEAD_WORD_BYTES).orderBy(F.col("c").desc(), "word").limit(HEAD_WORDS)
-    head = {r.word.encode(): math.log10(r.c + 1) for r in head_rows.collect()}
+    head_rows = head_rows.collect()
+    pieces = learn_pieces(words, [(r.word, r.c) for r in head_rows[:EM_HEAD_WORDS]], ends, model_path)
+    head = {r.word.encode(): math.log10(r.c + 1) for r in head_rows}
     told = spark.sparkContext.broadcast((pieces, head))
     key = uuid.uuid4().hex
 
