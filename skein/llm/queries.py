@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fastsim, harmonic, iblt, knnquality, langmask, lattice, linechunks
+from . import bpe, fastsim, harmonic, iblt, knnquality, langmask, lattice, linechunks, topk
 from .common import id_remainder
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, query_modulus=50)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -55,6 +59,6 @@ def op10_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastsim.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_lattice_likelihood, op5_invertible_sketch, op6_language_masks, op9_quality_neighbours, op7_harmonic_packing, op8_line_chunks, op10_fast_similarity)}
+QUERIES = {f.__name__: f for f in (op2_histogram_topk, op3_byte_bpe, op4_lattice_likelihood, op5_invertible_sketch, op6_language_masks, op9_quality_neighbours, op7_harmonic_packing, op8_line_chunks, op10_fast_similarity)}
 
-ORACLE_SQL: dict[str, str] = {"op8_line_chunks": linechunks.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_histogram_topk": topk.ORACLE, "op8_line_chunks": linechunks.ORACLE}
