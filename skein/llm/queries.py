@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fastsim, harmonic, iblt, knnquality, langmask, lattice, linechunks, topk
+from . import bpe, fastsim, harmonic, iblt, knnquality, langmask, lattice, linechunks, topk, warc
 from .common import id_remainder
 
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, query_modulus=50)
 
@@ -59,6 +64,6 @@ def op10_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastsim.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_histogram_topk, op3_byte_bpe, op4_lattice_likelihood, op5_invertible_sketch, op6_language_masks, op9_quality_neighbours, op7_harmonic_packing, op8_line_chunks, op10_fast_similarity)}
+QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_histogram_topk, op3_byte_bpe, op4_lattice_likelihood, op5_invertible_sketch, op6_language_masks, op9_quality_neighbours, op7_harmonic_packing, op8_line_chunks, op10_fast_similarity)}
 
-ORACLE_SQL: dict[str, str] = {"op2_histogram_topk": topk.ORACLE, "op8_line_chunks": linechunks.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_warc_segments": warc.ORACLE, "op2_histogram_topk": topk.ORACLE, "op8_line_chunks": linechunks.ORACLE}
