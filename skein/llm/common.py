@@ -110,3 +110,28 @@ def worker_memo(key: str, make):
             _memo.pop(next(iter(_memo)))
         _memo[key] = make()
     return _memo[key]
+
+
+def with_text_columns(docs: DataFrame, text_col: str, fields: list[tuple[str, str, pa.DataType]], make, rows: int = 500) -> DataFrame:
+    """docs with further columns worked out from its text, in its own order and partitions.
+
+    make() gives a function from a list of texts to a list of columns; it is called
+    once per task. A field whose name docs has already gets underscores.
+    """
+    names = list(docs.columns)
+    taken = []
+    for name, _, _ in fields:
+        taken.append(fresh_name([*names, *taken], name))
+    text = fresh_name([*names, *taken], "text_")
+
+    def run(batches):
+        of = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                found = of(part.column(len(names)).to_pylist())
+                arrays = [pa.array(x, type=f[2]) for x, f in zip(found, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *arrays], names=[*names, *taken])
+
+    ddl = ", ".join(f"`{n}` {kind}" for n, kind in [*docs.dtypes, *((t, f[1]) for t, f in zip(taken, fields, strict=True))])
+    return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(run, ddl)

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_memo
+from .common import with_text_columns, worker_memo
 
 DIMENSIONS, LATENT = 4096, 48
 MAX_LABELLED, NEIGHBOURS = 4096, 15
@@ -179,18 +179,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, score, predicted."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with score and predicted."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    small = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_"))
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                score = held.value.score(_counts()(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32), pa.int32())], names=[id_col, "score", "predicted"]
-                )
+    def make():
+        def of(texts):
+            score = held.value.score(_counts()(texts))
+            return score, (score >= THRESHOLD).astype(np.int32)
+
+        return of
 
-    return small.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double, predicted int")
+    return with_text_columns(docs, text_col, [("score", "double", pa.float64()), ("predicted", "int", pa.int32())], make)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, worker_memo
+from .common import durable, with_text_columns, worker_memo
 
 SIZES = (1, 2, 3, 4)
 MIN_RATE, MIN_SHARE = 2e-5, 0.25
@@ -177,27 +177,23 @@ class _Words:
         return out
 
 
-def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, lang_pred, score."""
+def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
-    schema = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_"))
     key = uuid.uuid4().hex
 
-    def run(batches):
+    def make():
         words = worker_memo(key, lambda: _Words(held.value))
         f = words.f
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = part.column(1).to_pylist()
-                known = words([t or "" for t in texts]) if f.langs else None
-                lang, score = [], []
-                for k, t in enumerate(texts):
-                    pred = (UNDETERMINED, 0.0)
-                    if f.langs and t and _LETTER.search(t):
-                        pred = f.decide(int(known[k, 0]), known[k, 1:])
-                    lang.append(pred[0])
-                    score.append(pred[1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
-
-    return schema.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
+
+        def of(texts):
+            known = words([t or "" for t in texts]) if f.langs else None
+            told = []
+            for k, t in enumerate(texts):
+                certain = f.langs and t and _LETTER.search(t)
+                told.append(f.decide(int(known[k, 0]), known[k, 1:]) if certain else (UNDETERMINED, 0.0))
+            return [t[0] for t in told], [t[1] for t in told]
+
+        return of
+
+    return with_text_columns(docs, text_col, [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())], make)

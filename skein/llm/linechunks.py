@@ -36,7 +36,11 @@ def lines_of(text: Column) -> Column:
 
 
 def chunks_of(lines: Column) -> Column:
-    """array<struct<pos, n_lines, chunk>>: consecutive chunks that together are the text."""
+    """array<struct<pos, n_lines, chunk, span, long>>: consecutive chunks that together are the text.
+
+    span: what must repeat for the chunk to go: itself, or with the chunk before it
+    (the first: after it) if it is too short; long: the span is long enough to count.
+    """
     hashes = F.transform(lines, lambda x: F.md5(x.cast("binary")))
 
     def ends(ls, hs):
@@ -51,27 +55,36 @@ def chunks_of(lines: Column) -> Column:
 
         return F.transform(es, chunk)
 
+    def spanned(cs):
+        def one(c, k):
+            before = F.when(k > 0, F.get(cs, k - 1)).otherwise(F.get(cs, k + 1))
+            alone = (c["n_lines"] >= MIN_LINES) & (F.char_length(c["chunk"]) >= MIN_CHARS)
+            both = F.when(k > 0, F.concat(before["chunk"], c["chunk"])).otherwise(F.concat(c["chunk"], F.coalesce(before["chunk"], F.lit(""))))
+            span = F.when(alone, c["chunk"]).otherwise(both)
+            n = c["n_lines"] + F.when(alone, F.lit(0)).otherwise(F.coalesce(before["n_lines"], F.lit(0)))
+            return F.struct(c["pos"].alias("pos"), c["n_lines"].alias("n_lines"), c["chunk"].alias("chunk"), span.alias("span"), ((n >= MIN_LINES) & (F.char_length(span) >= MIN_CHARS)).alias("long"))
+
+        return F.transform(cs, one)
+
     # one-row arrays bind lines, hashes and ends, so that each is worked out once
     bound = F.transform(F.array(F.struct(lines.alias("ls"), hashes.alias("hs"))), lambda x: F.struct(x["ls"].alias("ls"), ends(x["ls"], x["hs"]).alias("es")))
-    return F.when(F.size(lines) == 0, F.array().cast("array<struct<pos:int,n_lines:int,chunk:string>>")).otherwise(
-        F.get(F.transform(bound, lambda x: cut(x["ls"], x["es"])), F.lit(0))
+    return F.when(F.size(lines) == 0, F.array().cast("array<struct<pos:int,n_lines:int,chunk:string,span:string,long:boolean>>")).otherwise(
+        F.get(F.transform(F.transform(bound, lambda x: cut(x["ls"], x["es"])), spanned), F.lit(0))
     )
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, text (without what was removed), n_lines, n_removed (lines)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, text (without what was removed), n_lines, n_removed (lines), and the columns to carry."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0), *carry).alias("other"))
     cut = rows.select("id", chunks_of(lines_of(F.col("text"))).alias("chunks"))
-    long_enough = (F.col("c.n_lines") >= MIN_LINES) & (F.char_length("c.chunk") >= MIN_CHARS)
-
-    each = cut.where("id is not null").select("id", F.explode("chunks").alias("c")).where(long_enough)
-    keyed = each.select("id", F.xxhash64("c.chunk").alias("key"), F.col("c.chunk").alias("chunk"))
+    each = cut.where("id is not null").select("id", F.explode("chunks").alias("c")).where("c.long")
+    keyed = each.select("id", F.xxhash64("c.span").alias("key"), F.col("c.span").alias("chunk"))
     same_bytes = keyed.groupBy("key", "chunk").agg(F.min("id").alias("first_id"), F.count("*").alias("occurrences")).where("occurrences > 1")
     # two texts with one 64-bit hash: told apart by a second hash
     repeated = durable(same_bytes.select("key", F.xxhash64(F.reverse("chunk")).alias("key2"), "first_id"), "repeated")
 
     # positions of a chunk in its document: all but the first are repeats within it
-    places = each.select("id", F.xxhash64("c.chunk").alias("key"), F.xxhash64(F.reverse("c.chunk")).alias("key2"), F.col("c.pos").alias("pos"))
+    places = each.select("id", F.xxhash64("c.span").alias("key"), F.xxhash64(F.reverse("c.span")).alias("key2"), F.col("c.pos").alias("pos"))
     hits = durable(places.join(repeated, ["key", "key2"]), "hits")
     foreign = hits.where(F.col("id") != F.col("first_id")).select("id", "pos")
     own = hits.where(F.col("id") == F.col("first_id")).groupBy("id", "key", "key2").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
@@ -80,7 +93,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     joined = rows.join(gone, "id", "left")
     lines = lines_of(F.col("text"))
-    untouched = joined.select("id", "text", "gone", F.size(lines).alias("n_lines"))
+    untouched = joined.select("id", "text", "gone", "other", F.size(lines).alias("n_lines"))
     kept = untouched.withColumn(
         "left", F.when(F.col("gone").isNotNull(), F.filter(chunks_of(lines), lambda c: ~F.array_contains(F.col("gone"), c["pos"])))
     )
@@ -88,7 +101,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = F.aggregate(F.col("left"), F.lit(0), lambda n, c: n + c["n_lines"])
     return kept.select(
         F.col("id").alias(id_col), text.alias(text_col), F.col("n_lines").cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - left).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - left).cast("long").alias("n_removed"), *(F.col("other")[c].alias(c) for c in carry),
     )
 
 
@@ -102,10 +115,17 @@ ends AS (
 chunks AS (
   SELECT doc_id, k AS pos, es[k] - coalesce(es[k - 1], 0) AS n, array_to_string(ls[coalesce(es[k - 1], 0) + 1 : es[k]], '') AS chunk
   FROM (SELECT doc_id, ls, es, unnest(range(1, len(es) + 1)) AS k FROM ends)),
+near AS (
+  SELECT *, lag(chunk) OVER d AS before, lag(n) OVER d AS n_before, coalesce(lead(chunk) OVER d, '') AS after, coalesce(lead(n) OVER d, 0) AS n_after
+  FROM chunks WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+spans AS (
+  SELECT doc_id, pos, n, chunk,
+    CASE WHEN n >= {MIN_LINES} AND length(chunk) >= {MIN_CHARS} THEN chunk WHEN pos > 1 THEN before || chunk ELSE chunk || after END AS span,
+    CASE WHEN n >= {MIN_LINES} AND length(chunk) >= {MIN_CHARS} THEN n WHEN pos > 1 THEN n + n_before ELSE n + n_after END AS n_span
+  FROM near),
 marked AS (
-  SELECT *, n >= {MIN_LINES} AND length(chunk) >= {MIN_CHARS}
-    AND row_number() OVER (PARTITION BY chunk, n >= {MIN_LINES} ORDER BY doc_id, pos) > 1 AS gone
-  FROM chunks),
+  SELECT *, counts AND row_number() OVER (PARTITION BY span, counts ORDER BY doc_id, pos) > 1 AS gone
+  FROM (SELECT *, n_span >= {MIN_LINES} AND length(span) >= {MIN_CHARS} AS counts FROM spans)),
 whole AS (
   SELECT doc_id, coalesce(string_agg(chunk, '' ORDER BY pos) FILTER (NOT gone), '') AS text, coalesce(sum(n) FILTER (gone), 0) AS n_removed
   FROM marked GROUP BY doc_id)

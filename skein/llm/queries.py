@@ -43,7 +43,7 @@ def held_out(modulus: int = 4):
 def op6_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = langmask.learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
-    return langmask.predict(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return langmask.predict(docs.select("doc_id", "text"), filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = knnquality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return knnquality.predict(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return knnquality.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
