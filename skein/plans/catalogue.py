@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules whose import registers queries.
+MODULES = ("rank_queries", "agg_queries")
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -25,7 +29,8 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    pass
+    for name in MODULES:
+        importlib.import_module(f"skein.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
