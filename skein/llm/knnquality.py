@@ -41,8 +41,23 @@ POWER_ITERATIONS, SEED = 4, 7
 
 
 
+def _plain_shape(body: str) -> str | None:
+    """The shape of a run of letters; None for anything else."""
+    if not body.isalpha():
+        return None
+    if body.islower():
+        return "a"
+    if body.isupper():
+        return "A"
+    return "Aa" if body[0].isupper() and body[1:].islower() else None
+
+
 def shape(word: str) -> str:
     """Aa, a, A, 0 for runs of letters and digits; other characters stand, repeats cut to three."""
+    body = word.rstrip(".,;:!?*%&$#)\"'")
+    plain, tail = _plain_shape(body), word[len(body) :]
+    if plain and len(tail) <= 3:
+        return plain + tail
     out = regex.sub(r"\p{Lu}(?=\p{Ll})", "\x01", word)
     out = regex.sub(r"\p{Lu}+", "A", out)
     out = regex.sub(r"[\p{Ll}\p{Lo}\p{Lm}\p{Lt}\p{M}]+", "a", out)
