@@ -38,12 +38,15 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_fold(c), r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; the one text step that no built-in covers."""
+def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def nfc(c: Column) -> Column:
+    """Canonical composition in Arrow batches; the one text step that no built-in covers."""
+    return F.pandas_udf(_compose, "string")(c)
+
+
 def normalize_text(c: Column, compose: bool = False) -> Column:
     """Display copy: no control or decorative characters, white space collapsed, blank-line runs cut to one.
 
