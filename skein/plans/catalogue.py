@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules whose import registers queries.
-MODULES = ("rank_queries", "agg_queries", "text_queries", "join_queries", "flow_queries")
+MODULES = ("rank_queries", "agg_queries", "text_queries", "join_queries", "flow_queries", "filter_queries")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
