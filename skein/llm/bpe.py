@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Letters that stand for the 256 bytes; none is a space or sentencepiece's own mark.
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
-#: Distinct chunks that a worker remembers before it starts afresh.
-CACHE_CHUNKS = 600_000
+#: Distinct chunks in each of the two generations that a worker remembers.
+CACHE_CHUNKS = 500_000
 
 _SPACE_RUN = re.compile(r"\s ")
 
@@ -87,6 +87,7 @@ class ChunkCache:
     def __init__(self, encode_many, join, limit: int = CACHE_CHUNKS):
         self.encode_many, self.join, self.limit = encode_many, join, limit
         self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def _chunks(self, text: str) -> list[str]:
         if _SPACE_RUN.search(text):
@@ -103,13 +104,14 @@ class ChunkCache:
     def __call__(self, texts: list[str | None]) -> list:
         cut = [self._chunks(t) if t else [] for t in texts]
         known = self.known
-        missing = set().union(*map(set, cut)) - known.keys() if cut else set()
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = set().union(*map(set, cut))
-            order = list(missing)
-            known.update(zip(order, self.encode_many(order), strict=True))
+        wanted = set().union(*map(set, cut)) if cut else set()
+        if len(known) + len(wanted) > self.limit:
+            self.older, self.known = known, {}
+            known = self.known
+        for chunk in (wanted - known.keys()) & self.older.keys():
+            known[chunk] = self.older[chunk]
+        if missing := list(wanted - known.keys()):
+            known.update(zip(missing, self.encode_many(missing), strict=True))
         get = known.__getitem__
         return [self.join(list(map(get, c))) for c in cut]
 

@@ -112,7 +112,7 @@ def _encoder(path: str):
     tok = Tokenizer.from_file(path)
     pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
     one = lambda text: pack(tok.encode(text, add_special_tokens=False).ids)
-    many = lambda chunks: [pack(x.ids) for x in tok.encode_batch(chunks, add_special_tokens=False)]
+    many = lambda chunks: [pack(x.ids) for x in tok.encode_batch_fast(chunks, add_special_tokens=False)]
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     return ChunkCache(many, b"".join), one, special
 
