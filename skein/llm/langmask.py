@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, with_text_columns, worker_memo
 
-SIZES = (1, 2, 3, 4)
+SIZES = (2, 3, 4)
 MIN_RATE, MIN_SHARE = 2e-5, 0.25
 SLOTS_LOG2, HASHES = 20, 4
 UNDETERMINED = "und"
@@ -46,12 +46,13 @@ _LETTER = regex.compile(r"\p{L}")
 
 def grams(word: str) -> list[str]:
     """n-grams of the lower-cased letter runs of a word, each run between blanks."""
+    low = word.lower()
     out = []
-    for run in _LETTERS.findall(word.lower()):
+    for run in [low] if low.isalpha() else _LETTERS.findall(low):
         run = f" {run} "
         for n in SIZES:
             out += [run[i : i + n] for i in range(len(run) - n + 1)]
-    return [g for g in out if g != " "]
+    return out
 
 
 def slots_of(gram: str) -> list[int]:
@@ -69,12 +70,6 @@ class Filters:
     table: np.ndarray
     false_positive: np.ndarray
 
-    def masks(self, names: list[str]) -> np.ndarray:
-        """0 or 1 for each n-gram and language."""
-        rows = np.array([slots_of(g) for g in names], dtype=np.intp).reshape(-1, HASHES)
-        both = np.bitwise_and.reduce(self.table[rows], axis=1)
-        return np.unpackbits(both, axis=1, bitorder="little")[:, : len(self.langs)]
-
     def decide(self, total: int, hits: np.ndarray) -> tuple[str, float]:
         share = np.clip((hits / total - self.false_positive) / (1 - self.false_positive), 0, 1) if total else np.zeros(len(self.langs))
         if not share.any():
@@ -135,46 +130,50 @@ def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> F
     return Filters(langs, most, table, fill**HASHES)
 
 
-class _Words:
-    """Of each word, the number of its n-grams and, by language, how many of them its filter holds."""
+#: Bits of each counter when the counts of a word, one per language, are packed into one integer.
+LANE = 40
+
+
+class _Grams(dict):
+    """Of each n-gram one integer: 1, then by language 1 if the filter holds it; LANE bits each."""
 
     def __init__(self, filters: Filters):
-        self.f, self.place = filters, {}
-        self.rows = np.zeros((0, len(filters.langs) + 1), np.int64)
-
-    def _count(self, words: list[str]) -> np.ndarray:
-        lists = [grams(w) for w in words]
-        flat = [g for gs in lists for g in gs]
-        out = np.zeros((len(words), len(self.f.langs) + 1), np.int64)
-        if flat:
-            names, inverse = np.unique(np.array(flat, dtype=object), return_inverse=True)
-            masks = self.f.masks(list(names))[inverse]
-            owner = np.repeat(np.arange(len(words)), [len(gs) for gs in lists])
-            for k in range(masks.shape[1]):
-                out[:, k + 1] = np.bincount(owner, weights=masks[:, k], minlength=len(words))
-            out[:, 0] = [len(gs) for gs in lists]
+        super().__init__()
+        self.f = filters
+
+    def __missing__(self, name: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        slots = self.f.table[slots_of(name)]
+        mask = int.from_bytes(np.bitwise_and.reduce(slots, axis=0).tobytes(), "little")
+        out = self[name] = 1 + sum(1 << (LANE * (k + 1)) for k in range(len(self.f.langs)) if mask >> k & 1)
         return out
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+
+class _Words:
+    """Sums of these integers by word, for words that have come before."""
+
+    def __init__(self, filters: Filters):
+        self.f = filters
+        self.words: dict[str, int] = {}
+        self.grams = _Grams(filters)
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
+        """(number of n-grams, hits by language) for each text."""
         cut = [t.split() for t in texts]
-        missing = {w for ws in cut for w in ws} - self.place.keys()
-        if missing:
-            if len(self.place) + len(missing) > CACHE_WORDS:
-                self.place, self.rows = {}, self.rows[:0]
-                missing = {w for ws in cut for w in ws}
-            order = list(missing)
-            at = len(self.place)
-            counted = np.concatenate([self._count(order[i : i + 2000]) for i in range(0, len(order), 2000)])
-            self.rows = np.concatenate([self.rows, counted])
-            self.place.update(zip(order, range(at, at + len(order)), strict=True))
-        get = self.place.__getitem__
-        out = np.zeros((len(texts), self.rows.shape[1]), np.int64)
-        for k, ws in enumerate(cut):
-            if ws:
-                out[k] = self.rows[np.fromiter(map(get, ws), np.intp, len(ws))].sum(axis=0)
+        wanted = {w for ws in cut for w in ws}
+        missing = wanted - self.words.keys()
+        if len(self.words) + len(missing) > CACHE_WORDS:
+            self.words, missing = {}, wanted
+        gram = self.grams.__getitem__
+        for w in missing:
+            self.words[w] = sum(map(gram, grams(w)))
+        get = self.words.__getitem__
+        totals = [sum(map(get, ws)) for ws in cut]
         for w in [w for w in missing if len(w) > CACHE_WORD_CHARS]:  # a few very long words must not fill the memory
-            del self.place[w]
-        return out
+            del self.words[w]
+        low = (1 << LANE) - 1
+        return [(x & low, np.array([x >> LANE * (k + 1) & low for k in range(len(self.f.langs))])) for x in totals]
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
@@ -191,7 +190,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
             told = []
             for k, t in enumerate(texts):
                 certain = f.langs and t and _LETTER.search(t)
-                told.append(f.decide(int(known[k, 0]), known[k, 1:]) if certain else (UNDETERMINED, 0.0))
+                told.append(f.decide(*known[k]) if certain else (UNDETERMINED, 0.0))
             return [t[0] for t in told], [t[1] for t in told]
 
         return of
