@@ -9,10 +9,9 @@ with concentration as strong as that of t independent minima (Dahlgaard, Knudsen
 and Thorup, 2017), at about t ln t + |set| hashes instead of t * |set|.
 
 Bands of coordinates give buckets. Sets that are equal are one node. In a bucket,
-nodes are compared with its smallest node, then with its largest, and then each
-pair of nodes that are still in different components is compared, so no link that
-could join two components stays untested; pairs inside a component never are
-listed. Every link is confirmed on the full sets, and components are found by
+nodes are compared with the one amid the most copies, and then each pair of nodes
+that are still in different components is compared, so no link that could join two
+components stays untested; pairs inside a component never are listed. Every link is confirmed on the full sets, and components are found by
 large-star and small-star steps on tables, never on the driver.
 
 With 40 bands of 6 coordinates, two sets of similarity 0.8 share no bucket with
@@ -197,8 +196,12 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until the edges stop changing; each
     step is an aggregation and a join, and its result a table in the shared folder.
     """
+    if links.isEmpty():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     ends = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = durable(ends, "edges"), None
+    edges = durable(ends, "edges")
+    state_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state_of(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
@@ -208,7 +211,7 @@ def components(links: DataFrame) -> DataFrame:
         least_small = durable(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least_small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least_small.select("u", F.col("m").alias("v")))
         after = durable(small.where("u <> v").distinct(), "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = state_of(after)
         for old in (edges, least, large, least_small):
             drop_durable(old)
         edges = after
@@ -218,69 +221,56 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _joined(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels after the components at the ends of links are joined."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    lifted = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    over = durable(components(lifted).select(F.col("node").alias("was"), F.col("label").alias("now")), "labels")
+    kept = labels.join(over, labels.label == over.was, "left").select("node", F.coalesce("now", "label").alias("label"))
+    new = over.join(labels, over.was == labels.node, "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return durable(kept.unionByName(new), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     each = durable(_sketched(docs, id_col, text_col, k), "sketched")
-    nodes = durable(each.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n")), "nodes")
-
-    keyed = each.where("node is not null").select("node", "keys", "bits")
-    # one row for each node, though its copies may be many
-    single = durable(keyed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("bits").alias("bits")), "single")
-    entries = single.select("node", F.explode("keys").alias("bucket"))
-    shared = durable(entries.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).where("c > 1"), "buckets")
-    in_shared = durable(entries.join(shared.select("bucket", "low", "high"), "bucket").select("bucket", "node", "low", "high"), "members")
-
-    wanted = in_shared.select("node").distinct()
-    facts = durable(wanted.join(nodes, "node").join(single.select("node", "bits"), "node").select("node", "n", "bits", "first_id"), "facts")
-    drop_durable(single)
+    # one row for each set, though its copies may be many
+    nodes = durable(
+        each.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")),
+        "nodes",
+    )
+    entries = nodes.select("node", F.explode("keys").alias("bucket"))
+    shared = durable(entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
+    members = durable(entries.join(shared, "bucket").select("bucket", "node", "c"), "members")
+
+    # a node amid many copies shares large buckets in most bands: it is the one to compare the others with
+    weights = durable(members.groupBy("node").agg(F.sum("c").alias("weight")), "weights")
+    facts = durable(nodes.join(weights, "node").select("node", "n", "bits", "keys", "first_id", "weight"), "facts")
+    weighed = members.join(weights, "node").select("bucket", "node", "weight")
+    pivots = durable(weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot")), "pivots")
+
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    has_id = facts.where("first_id is not null").select("node", F.col("first_id").alias("id"))
-    texts = durable(source.join(has_id, "id").select("node", "text"), "texts")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        a = facts.select(F.col("node").alias("a"), F.struct("n", "bits").alias("fa"))
-        b = facts.select(F.col("node").alias("b"), F.struct("n", "bits").alias("fb"))
-        pairs = durable(pairs.distinct(), "candidates")
-        half = durable(pairs.join(a, "a"), "candidates")
-        return half.join(b, "b").where(_may_link(percent, "fa", "fb")).select("a", "b")
-
-    labels = None
-
-    def joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return durable(components(links), "labels")
-        a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        lifted = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        over = components(lifted)
-        over = durable(over.select(F.col("node").alias("was"), F.col("label").alias("now")), "labels")
-        kept = labels.join(over, labels.label == over.was, "left").select("node", F.coalesce("now", "label").alias("label"))
-        new = over.join(labels, over.was == labels.node, "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
-        return durable(kept.unionByName(new), "labels")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "node", "left").select("bucket", "node", "low", "high", F.coalesce("label", "node").alias("label"))
-
-    # every member against its bucket's smallest node
-    links = _confirm(likely(in_shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))), texts, k, percent)
-    labels = joined(links, None)
-    for pivot in ("high", "sweep"):
-        now = durable(labelled(in_shared), "now")
-        mixed = durable(now.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1"), "mixed")
-        rows = durable(now.join(mixed, "bucket").select("bucket", "node", "low", "high", "label"), "mixed")
-        drop_durable(now)
-        if pivot == "high":
-            ends = rows.where("node = high").select("bucket", F.col("label").alias("of_high"))
-            pairs = durable(rows.join(durable(ends, "ends"), "bucket").where("label <> of_high"), "rows").select(F.col("high").alias("a"), F.col("node").alias("b"))
-        else:
-            # the largest component of a bucket is listed only against the others' members
-            size = rows.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-            main = durable(size.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main")), "main")
-            tagged = durable(rows.join(main, "bucket").select("bucket", "node", "label", (F.col("label") == F.col("main")).alias("is_main")), "tagged")
-            left = tagged.where("not is_main").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-            right = tagged.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), "is_main")
-            pairs = left.join(right, "bucket").where("label_a <> label_b and (is_main or a < b)").select("a", "b")
-        links = _confirm(likely(pairs), texts, k, percent)
-        labels = joined(links, labels)
+    texts = durable(source.join(facts.where("first_id is not null").select("node", F.col("first_id").alias("id")), "id").select("node", "text"), "texts")
+
+    # every member against its bucket's pivot
+    starred = members.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    labels = durable(components(_confirm(starred, texts, k, percent)), "labels")
+
+    # what is left in different components of one bucket, each pair in the first bucket that it shares
+    now = durable(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "now")
+    per_label = durable(now.groupBy("bucket", "label").agg(F.count("*").alias("c")), "perlabel")
+    mixed = durable(per_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main")).where("labels > 1"), "mixed")
+    rows = durable(now.join(mixed, "bucket").select("bucket", "node", "label", (F.col("label") == F.col("main")).alias("is_main")), "rows")
+    rows = durable(rows.join(facts, "node").select("bucket", "node", "label", "is_main", "n", "bits", "keys"), "rows")
+    # the largest component of a bucket is on one side only: pairs within it never arise
+    left = rows.where("not is_main").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.struct("n", "bits", "keys").alias("fa"))
+    right = rows.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), "is_main", F.struct("n", "bits", "keys").alias("fb"))
+    left, right = left.alias("l"), right.alias("r")
+    first_shared = F.get(F.array_intersect(F.col("fa.keys"), F.col("fb.keys")), F.lit(0)) == F.col("l.bucket")
+    apart = (F.col("label_a") != F.col("label_b")) & (F.col("is_main") | (F.col("a") < F.col("b")))
+    pairs = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & apart & _may_link(percent, "fa", "fb") & first_shared).select("a", "b")
+    links = _confirm(pairs, texts, k, percent)
+    labels = _joined(links, labels)
 
     groups = nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     groups = durable(groups, "groups")
