@@ -80,7 +80,7 @@ def _merged(entries: Column) -> Column:
         )
         return F.when(c["pos"] == e["pos"], joined).otherwise(F.struct(kept(acc).alias("out"), e.alias("cur")))
 
-    return F.aggregate(F.array_sort(entries), zero, step, kept)
+    return F.aggregate(F.sort_array(entries), zero, step, kept)
 
 
 def sketch(keys: Column, cells: Column) -> Column:
@@ -93,11 +93,11 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(difference: Column, cells: Column) -> Column:
-    """struct<cells, found>: what is left, and the recovered struct<key, count> (1: only in a, -1: only in b).
+    """struct<cells, found, stuck>: what is left, and the recovered struct<key, count> (1: only in a, -1: only in b).
 
     No cells left means that every differing digest was recovered.
     """
-    zero = F.struct(difference.alias("cells"), F.array().cast("array<struct<key:bigint,count:int>>").alias("found"))
+    zero = F.struct(difference.alias("cells"), F.array().cast("array<struct<key:bigint,count:int>>").alias("found"), F.lit(False).alias("stuck"))
 
     def round_(acc, _):
         alone = F.filter(acc["cells"], lambda c: (F.abs(c["count"]) == 1) & (c["check"] == _check(c["key"])))
@@ -105,11 +105,11 @@ def peel(difference: Column, cells: Column) -> Column:
         # a one-row array binds pure, so that it is worked out once
         again = F.transform(
             F.array(pure),
-            lambda p: F.when(F.size(p) == 0, acc).otherwise(
-                F.struct(_merged(F.concat(acc["cells"], _entries(p, cells, None))).alias("cells"), F.concat(acc["found"], p).alias("found"))
+            lambda p: F.when(F.size(p) == 0, F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(True).alias("stuck"))).otherwise(
+                F.struct(_merged(F.concat(acc["cells"], _entries(p, cells, None))).alias("cells"), F.concat(acc["found"], p).alias("found"), F.lit(False).alias("stuck"))
             ),
         )
-        return F.when(F.size(acc["cells"]) == 0, acc).otherwise(F.get(again, F.lit(0)))
+        return F.when((F.size(acc["cells"]) == 0) | acc["stuck"], acc).otherwise(F.get(again, F.lit(0)))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_ROUNDS)), zero, round_)
 
