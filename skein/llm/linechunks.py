@@ -8,8 +8,8 @@ Chunks are grouped by hash and by their bytes, so equal hashes alone remove
 nothing; of a chunk of at least two lines that occurs more than once, the first
 occurrence stays (smallest id, then position) and the others are cut out.
 
-All DataFrame functions. The chunk texts are shuffled once, pre-aggregated; ids
-and positions of repeated chunks once; the documents once.
+All DataFrame functions. The chunk texts are written once and shuffled once,
+pre-aggregated; ids and positions of chunks once; the documents once.
 
 Edge cases: null texts stay null, empty ones empty; a text without two lines
 stays as it is; rows with a null id are left alone and count as no occurrence;
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import drop_durable, durable
 
 #: Position after a newline, or after a sentence end with its blank.
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
@@ -31,8 +31,18 @@ BOUNDARY_BELOW = "8"
 MIN_LINES, MIN_CHARS = 2, 40
 
 
+#: Marks line ends while a text is cut; texts that hold it themselves are cut by the pattern.
+MARK = "\x01"
+
+
 def lines_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), LINE_END, -1), lambda x: x != "")
+    """Lines with their ends; together they are the text. Literal replacements are much faster than the pattern."""
+    t = F.coalesce(text, F.lit(""))
+    marked = t
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    cut = F.when(F.contains(t, F.lit(MARK)), F.split(t, LINE_END, -1)).otherwise(F.split(marked, MARK, -1))
+    return F.filter(cut, lambda x: x != "")
 
 
 def chunks_of(lines: Column) -> Column:
@@ -41,12 +51,10 @@ def chunks_of(lines: Column) -> Column:
     span: what must repeat for the chunk to go: itself, or with the chunk before it
     (the first: after it) if it is too short; long: the span is long enough to count.
     """
-    hashes = F.transform(lines, lambda x: F.md5(x.cast("binary")))
-
     def ends(ls, hs):
         n = F.size(ls)
         rolled = lambda i: F.substring(F.md5(F.concat(F.get(hs, i - 2), F.get(hs, i - 1)).cast("binary")), 1, 1)
-        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ((i > 1) & (rolled(i) < BOUNDARY_BELOW)))
+        return F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: (i == n) | ((i > 1) & (rolled(i) < BOUNDARY_BELOW)))
 
     def cut(ls, es):
         def chunk(e, k):
@@ -67,10 +75,11 @@ def chunks_of(lines: Column) -> Column:
         return F.transform(cs, one)
 
     # one-row arrays bind lines, hashes and ends, so that each is worked out once
-    bound = F.transform(F.array(F.struct(lines.alias("ls"), hashes.alias("hs"))), lambda x: F.struct(x["ls"].alias("ls"), ends(x["ls"], x["hs"]).alias("es")))
-    return F.when(F.size(lines) == 0, F.array().cast("array<struct<pos:int,n_lines:int,chunk:string,span:string,long:boolean>>")).otherwise(
-        F.get(F.transform(F.transform(bound, lambda x: cut(x["ls"], x["es"])), spanned), F.lit(0))
-    )
+    hashed = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("ls"), F.transform(ls, lambda x: F.md5(x.cast("binary"))).alias("hs")))
+    ended = F.transform(hashed, lambda x: F.struct(x["ls"].alias("ls"), ends(x["ls"], x["hs"]).alias("es")))
+    none = F.array().cast("array<struct<pos:int,n_lines:int,chunk:string,span:string,long:boolean>>")
+    made = F.transform(F.transform(ended, lambda x: cut(x["ls"], x["es"])), spanned)
+    return F.coalesce(F.get(made, F.lit(0)), none)
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -78,14 +87,14 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0), *carry).alias("other"))
     cut = rows.select("id", chunks_of(lines_of(F.col("text"))).alias("chunks"))
     each = cut.where("id is not null").select("id", F.explode("chunks").alias("c")).where("c.long")
-    keyed = each.select("id", F.xxhash64("c.span").alias("key"), F.col("c.span").alias("chunk"))
-    same_bytes = keyed.groupBy("key", "chunk").agg(F.min("id").alias("first_id"), F.count("*").alias("occurrences")).where("occurrences > 1")
-    # two texts with one 64-bit hash: told apart by a second hash
-    repeated = durable(same_bytes.select("key", F.xxhash64(F.reverse("chunk")).alias("key2"), "first_id"), "repeated")
+    # two hashes, so that two texts with one 64-bit hash are told apart after the byte comparison
+    each = durable(each.select("id", F.col("c.pos").alias("pos"), F.xxhash64("c.span").alias("key"), F.xxhash64(F.reverse("c.span")).alias("key2"), F.col("c.span").alias("span")), "spans")
+    same_bytes = each.groupBy("key", "key2", "span").agg(F.min("id").alias("first_id"), F.count("*").alias("occurrences")).where("occurrences > 1")
+    repeated = durable(same_bytes.select("key", "key2", "first_id"), "repeated")
 
     # positions of a chunk in its document: all but the first are repeats within it
-    places = each.select("id", F.xxhash64("c.span").alias("key"), F.xxhash64(F.reverse("c.span")).alias("key2"), F.col("c.pos").alias("pos"))
-    hits = durable(places.join(repeated, ["key", "key2"]), "hits")
+    hits = durable(each.drop("span").join(repeated, ["key", "key2"]), "hits")
+    drop_durable(each)
     foreign = hits.where(F.col("id") != F.col("first_id")).select("id", "pos")
     own = hits.where(F.col("id") == F.col("first_id")).groupBy("id", "key", "key2").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     again = own.where("last_pos > first_pos").join(hits.drop("first_id"), ["id", "key", "key2"]).where("pos > first_pos").select("id", "pos")
