@@ -26,17 +26,21 @@ import uuid
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_remainder, words_of, worker_memo
+from .common import drop_durable, durable, id_remainder, words_of, worker_memo
 
 MARK = "▁"
 HEAD_WORDS, HEAD_WORD_BYTES = 100_000, 48
 CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 80
-#: Rounds of expectation maximisation on so many frequent words, before the one over all words.
-EM_HEAD, EM_HEAD_WORDS, EM_WORD_CHARS = 6, 20_000, 40
+#: Rounds of expectation maximisation over all words; longer words are learned from in parts of EM_WORD_CHARS.
+EM_ROUNDS, EM_WORD_CHARS = 7, 40
+#: Parts in one row of lattices; such a row has half a megabyte, so few are read and sent at a time.
+CHUNK_PARTS = 4096
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "16", "spark.sql.parquet.columnarReaderBatchSize": "16"}
 LN10 = math.log(10)
 #: Added to each piece's count.
 SMOOTHING = 0.1
@@ -100,49 +104,59 @@ def word_log_p(word: str, m: Pieces) -> float:
     raise AssertionError
 
 
-def expected_counts(words: list[str], counts: list[int], m: Pieces, found: dict[str, float], found_bytes: list[float]) -> None:
-    """Add to found the expected occurrences of each piece over all segmentations (forward and backward)."""
-    trie = m.trie
-    exp = math.exp
-    for word, c in zip(words, counts, strict=True):
-        if len(word) > EM_WORD_CHARS:  # split, so that no probability underflows
-            parts = [word[i : i + EM_WORD_CHARS] for i in range(0, len(word), EM_WORD_CHARS)]
-        else:
-            parts = [word]
-        for part in parts:
-            text = MARK + part
-            n = len(text)
-            alpha = [0.0] * (n + 1)
-            alpha[0] = 1.0
-            edges = []
-            for start in range(n):
-                here = alpha[start]
-                if trie.get(text[start]) is None:
-                    p = exp(m.bytes_log_p(text[start]))
-                    alpha[start + 1] += here * p
-                    edges.append((start, start + 1, p, None))
-                for end in range(start + 1, n + 1):
-                    name = text[start:end]
-                    p = trie.get(name, 0)
-                    if p == 0:
-                        break
-                    if p is not None:
-                        p = exp(p)
-                        alpha[end] += here * p
-                        edges.append((start, end, p, name))
-            if not alpha[n] > 0:
-                continue
-            beta = [0.0] * (n + 1)
-            beta[n] = c / alpha[n]
-            for start, end, p, name in reversed(edges):
-                p *= beta[end]
-                beta[start] += p
-                p *= alpha[start]
-                if name is None:
-                    for b in text[start].encode("utf-8", "surrogatepass"):
-                        found_bytes[b] += p
-                else:
-                    found[name] = found.get(name, 0.0) + p
+def lattice_of(parts: list[str], place: dict[str, int], size: int) -> tuple[np.ndarray, str]:
+    """Edges of the lattices of at most CHUNK_PARTS marked parts, sorted, and the characters that are no piece.
+
+    An edge is end, part, start and piece in one number; place has each piece's
+    number, and -1 for the beginnings of pieces; the k-th character counts as piece size + k.
+    """
+    edges: list[int] = []
+    chars: dict[str, int] = {}
+    add = edges.append
+    for at, part in enumerate(parts):
+        text = MARK + part
+        n = len(text)
+        for start in range(n):
+            base = at << 26 | start << 20
+            if place.get(text[start], -1) < 0:
+                add((start + 1) << 38 | base | chars.setdefault(text[start], size + len(chars)))
+            for end in range(start + 1, n + 1):
+                piece = place.get(text[start:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    add(end << 38 | base | piece)
+    return np.sort(np.array(edges, np.int64)), "".join(chars)
+
+
+def expected_pieces(edges: np.ndarray, counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Expected occurrences of each piece over all segmentations of the parts, times their counts.
+
+    Forward in log space. Backward, a point's share of a part's segmentations goes
+    to the edges into it by their shares of its forward sum, so nothing underflows.
+    """
+    piece, start, part, end = edges & 0xFFFFF, edges >> 20 & 63, edges >> 26 & (CHUNK_PARTS - 1), edges >> 38
+    here, there, p = part * 64 + start, part * 64 + end, log_p[piece]
+    bounds = np.searchsorted(end, np.arange(1, 65))
+    forward, share = np.zeros(CHUNK_PARTS * 64), np.zeros(len(edges))
+    spans = [(i, j) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if i < j]
+    for i, j in spans:
+        ways, to = forward[here[i:j]] + p[i:j], there[i:j]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1])
+        n = np.diff(np.append(first, j - i))
+        top = np.maximum.reduceat(ways, first)
+        ways = np.exp(ways - np.repeat(top, n))
+        total = np.add.reduceat(ways, first)
+        forward[to[first]] = top + np.log(total)
+        share[i:j] = ways / np.repeat(total, n)
+    passing = np.zeros(CHUNK_PARTS * 64)
+    last = np.zeros(len(counts), np.int64)
+    np.maximum.at(last, part, end)
+    passing[np.arange(len(counts)) * 64 + last] = counts
+    for i, j in reversed(spans):
+        share[i:j] *= passing[there[i:j]]
+        passing[here[i:j]] += share[i:j]  # edges into one point have different starts
+    return np.bincount(piece, share, len(log_p))
 
 
 def _processor(path: str):
@@ -174,13 +188,15 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def learn_pieces(words: DataFrame, head: list[tuple[str, int]], ends: int, model_path: str) -> Pieces:
+def learn_pieces(words: DataFrame, ends: int, model_path: str) -> Pieces:
     """Probabilities of the pieces of the model file, for the training words (word, c).
 
-    They start from the tokenizer's own segmentation of the most frequent words,
-    go through EM_HEAD rounds of expectation maximisation on these (a bounded
-    list), and end with one round over every distinct word, weighted by its count.
+    They start from the tokenizer's own segmentation of every distinct word and go
+    through EM_ROUNDS rounds of expectation maximisation over all of them, weighted
+    by their counts. The lattices are worked out and written once; a round collects
+    one count a piece.
     """
+    context = words.sparkSession.sparkContext
     sp = _processor(model_path)
     size = sp.vocab_size()
     names: list[str | None] = [None if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) else sp.id_to_piece(i) for i in range(size)]
@@ -188,43 +204,94 @@ def learn_pieces(words: DataFrame, head: list[tuple[str, int]], ends: int, model
     names = [None if x is None or MARK in x[1:] else x for x in names]
     byte_ids = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(size) if sp.is_byte(i)}
     place = {x: i for i, x in enumerate(names) if x is not None}
+    for x in list(place):
+        for k in range(1, len(x)):
+            place.setdefault(x[:k], -1)
+    told = context.broadcast((sp.serialized_model_proto(), place))
+    key = uuid.uuid4().hex
+
+    def build(batches):
+        import sentencepiece
 
-    def as_list(found: dict[str, float], found_bytes: list[float]) -> list[float]:
+        proto, place = told.value
+        own = worker_memo("lattice-start:" + key, lambda: sentencepiece.SentencePieceProcessor(model_proto=proto))
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_PARTS // 2):
+                some = batch.slice(at, CHUNK_PARTS // 2)
+                told_words, seen = some.column(0).to_pylist(), some.column(1).to_pylist()
+                encoded = own.encode(told_words, num_threads=1)
+                ids = np.array([i for x in encoded for i in x], np.int64)
+                starts = np.bincount(ids, np.repeat(np.array(seen, float), [len(x) for x in encoded]), size)
+                parts, counts = [], []
+                for word, c in zip(told_words, seen, strict=True):
+                    for i in range(0, max(len(word), 1), EM_WORD_CHARS):
+                        parts.append(word[i : i + EM_WORD_CHARS])
+                        counts.append(c)
+                for i in range(0, len(parts), CHUNK_PARTS):
+                    edges, chars = lattice_of(parts[i : i + CHUNK_PARTS], place, size)
+                    used = np.flatnonzero(starts) if i == 0 else ids[:0]
+                    row = (edges.tobytes(), np.array(counts[i : i + CHUNK_PARTS], float).tobytes(), chars, used.tobytes(), starts[used].tobytes())
+                    kinds = (pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["edges", "counts", "chars", "used", "starts"])
+
+    lattices = durable(words.select("word", "c").mapInArrow(build, "edges binary, counts binary, chars string, used binary, starts binary"), "lattices")
+
+    def summed(rows: DataFrame, of) -> list[float]:
+        """of() gives each row's counts by piece; they are summed within each task, then over all."""
+
+        def run(batches):
+            found = np.zeros(size)
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    of(found, *row)
+            used = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(found[used], pa.float64())], names=["piece", "c"])
+
+        # exact sums of rounded counts, so that the order of addition leaves no trace
+        exact = F.sum(F.round("c", 6).cast("decimal(30,6)")).cast("double")
         out = [0.0] * size
-        for x, c in found.items():
-            out[place[x]] = c
-        for b, i in byte_ids.items():
-            out[i] = found_bytes[b]
+        for r in rows.mapInArrow(run, "piece int, c double").groupBy("piece").agg(exact.alias("c")).collect():
+            out[r.piece] = r.c
         return out
 
-    counts = [0.0] * size
-    for ids, (_, c) in zip(sp.encode([w for w, _ in head], num_threads=1) if head else [], head, strict=True):
-        for i in ids:
-            counts[i] += c
-    told, seen = [w for w, _ in head], [c for _, c in head]
-    for _ in range(EM_HEAD):
-        found, found_bytes = {}, [0.0] * 256
-        expected_counts(told, seen, Pieces.of(names, byte_ids, counts, ends), found, found_bytes)
-        counts = as_list(found, found_bytes)
-    held = words.sparkSession.sparkContext.broadcast(Pieces.of(names, byte_ids, counts, ends))
-
-    def run(batches):
-        found, found_bytes = {}, [0.0] * 256
-        for batch in batches:
-            expected_counts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), held.value, found, found_bytes)
-        spelled = {f"byte {b}": c for b, c in enumerate(found_bytes) if c} | found
-        yield pa.RecordBatch.from_arrays([pa.array(list(spelled), pa.string()), pa.array(list(spelled.values()), pa.float64())], names=["piece", "c"])
-
-    # rounded, so that the order of addition leaves no trace
-    total = words.select("word", "c").mapInArrow(run, "piece string, c double").groupBy("piece").agg(F.sum(F.round("c", 3)).alias("c")).collect()
-    found_bytes = [0.0] * 256
-    found = {}
-    for r in total:
-        if r.piece.startswith("byte "):
-            found_bytes[int(r.piece[5:])] = r.c
-        else:
-            found[r.piece] = r.c
-    return Pieces.of(names, byte_ids, as_list(found, found_bytes), ends)
+    conf = words.sparkSession.conf
+    before = {k: conf.get(k) for k in SMALL_BATCHES}
+    for k, v in SMALL_BATCHES.items():
+        conf.set(k, v)
+    try:
+        return _rounds(lattices, summed, names, byte_ids, ends)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+        drop_durable(lattices)
+
+
+def _rounds(lattices: DataFrame, summed, names: list[str | None], byte_ids: dict[int, int], ends: int) -> Pieces:
+    context, size = lattices.sparkSession.sparkContext, len(names)
+
+    def start(found, used, starts):
+        np.add.at(found, np.frombuffer(used, np.int64), np.frombuffer(starts))
+
+    counts = summed(lattices.select("used", "starts"), start)
+    for _ in range(EM_ROUNDS):
+        m = Pieces.of(names, byte_ids, counts, ends)
+        log_p = np.array([m.trie[x] if x is not None else 0.0 for x in names])
+        held = context.broadcast((log_p, m.byte_log_p))
+
+        def one(found, edges, counts, chars, held=held):
+            log_p, byte_log_p = held.value
+            spelled = [x.encode("utf-8", "surrogatepass") for x in chars]
+            by_char = np.array([sum(byte_log_p[b] for b in x) for x in spelled])
+            got = expected_pieces(np.frombuffer(edges, np.int64), np.frombuffer(counts), np.concatenate([log_p, by_char]))
+            found += got[:size]
+            for x, c in zip(spelled, got[size:], strict=True):
+                for b in x:
+                    if b in byte_ids:
+                        found[byte_ids[b]] += c
+
+        counts = summed(lattices.select("edges", "counts", "chars"), one)
+        held.unpersist()
+    return Pieces.of(names, byte_ids, counts, ends)
 
 
 def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
@@ -240,7 +307,7 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     n_train, distinct = (stats[0] or 0) + ends, stats[1] + (ends > 0)
     head_rows = words.where(F.octet_length("word") <= HEAD_WORD_BYTES).orderBy(F.col("c").desc(), "word").limit(HEAD_WORDS)
     head_rows = head_rows.collect()
-    pieces = learn_pieces(words, [(r.word, r.c) for r in head_rows[:EM_HEAD_WORDS]], ends, model_path)
+    pieces = learn_pieces(words, ends, model_path)
     head = {r.word.encode(): math.log10(r.c + 1) for r in head_rows}
     told = spark.sparkContext.broadcast((pieces, head))
     key = uuid.uuid4().hex

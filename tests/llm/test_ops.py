@@ -146,6 +146,70 @@ def test_lattice_base_score(spark):
         assert got[i].score < 0
 
 
+def learned_in_log_space(words, ends, path):
+    """The pieces after expectation maximisation over all words, one word after another, in log space."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    size = sp.vocab_size()
+    names = [None if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) or lattice.MARK in sp.id_to_piece(i)[1:] else sp.id_to_piece(i) for i in range(size)]
+    byte_ids = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(size) if sp.is_byte(i)}
+    place = {x: i for i, x in enumerate(names) if x is not None}
+    counts = [0.0] * size
+    for word, c in words.items():
+        for i in sp.encode(word):
+            counts[i] += c
+    for _ in range(7):
+        m = lattice.Pieces.of(names, byte_ids, counts, ends)
+        counts = [0.0] * size
+        for word, c in words.items():
+            text = lattice.MARK + word
+            edges = []
+            for s in range(len(text)):
+                if m.trie.get(text[s]) is None:
+                    edges.append((s, s + 1, m.bytes_log_p(text[s]), [byte_ids[b] for b in text[s].encode()]))
+                edges += [(s, e, m.trie[text[s:e]], [place[text[s:e]]]) for e in range(s + 1, min(len(text), s + 20) + 1) if m.trie.get(text[s:e]) is not None]
+            into, out = [-math.inf] * (len(text) + 1), [-math.inf] * (len(text) + 1)
+            into[0] = out[-1] = 0.0
+            for s, e, p, _ in edges:
+                into[e] = np.logaddexp(into[e], into[s] + p)
+            for s, e, p, _ in reversed(edges):
+                out[s] = np.logaddexp(out[s], out[e] + p)
+            for s, e, p, ids in edges:
+                for i in ids:
+                    counts[i] += c * math.exp(into[s] + p + out[e] - into[-1])
+    return lattice.Pieces.of(names, byte_ids, counts, ends)
+
+
+def same_scores(spark, rows):
+    """Scores are those of pieces learned from every training word."""
+    path = public.path("piece_bpe_32k.model")
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    words: dict[str, int] = {}
+    for t in train:
+        for w in t.encode().lower().split():
+            words[w.decode()] = words.get(w.decode(), 0) + 1
+    m = learned_in_log_space(words, len(train), path)
+    got = {r.doc_id: r.score for r in lattice.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx((m.end_log_p + sum(lattice.word_log_p(w.decode(), m) for w in t.encode().lower().split())) / math.log(10), rel=1e-4)
+
+
+def test_lattice_learns_from_rare_words(spark):
+    syllables = ["ka", "lo", "mi", "ren", "tus", "vor", "shi", "que", "bla", "zen", "dor", "fy"]
+    name = lambda k: "".join(syllables[k // 12**j % 12] for j in range(4))
+    frequent = [(k, " ".join(name(j) for j in range(k * 400, k * 400 + 400)) + " the of") for k in range(51)]
+    rare = [(100 + k, " ".join(f"xylograph{k}ic{j}ness" for j in range(40))) for k in range(20)]
+    same_scores(spark, frequent + [(1000 + i, t) for i, t in frequent] + rare)
+
+
+def test_lattice_learns_from_words_of_bytes(spark):
+    """Long words of a script without pieces: their probability is far below the least double."""
+    lao = [chr(c) for c in range(0x0E81, 0x0EAF) if chr(c).isalpha()]
+    long = lambda k: "".join(lao[(k + 3 * j) % len(lao)] for j in range(38))
+    same_scores(spark, [(k, "the of and in to " * 4000) for k in range(40)] + [(100 + k, long(k)) for k in range(3)])
+
+
 def test_fingerprints_against_sets(spark):
     many = "\n".join(f"Paragraph number {i} ends here." for i in range(400))
     rows = [(3, "One line.\nTwo line.\nThree."), (1, many), (2, many.replace("7", "x")), (4, None), (5, ""), (6, "é" * 9), (9, "One line.\nTwo line.\nThree.")]
