@@ -77,14 +77,14 @@ def stream_upsert(spark, sf_dir):
 
 @query("stream_tumbling_ext")
 def stream_tumbling_ext(spark, sf_dir):
-    t = V.tumbling(_stream(spark, sf_dir), "ts", "1 hour", "1 day", ["event_type"], F.count("*").alias("n"))
-    return V.run_to_table(t, "tumbling")
+    t = V.tumbling(_stream(spark, sf_dir), "ts", None, "1 day", ["event_type"], F.count("*").alias("n"))
+    return V.run_whole(t, "tumbling")
 
 
 @query("stream_session_ext")
 def stream_session_ext(spark, sf_dir):
-    t = V.sessions(_stream(spark, sf_dir), "ts", "1 hour", "30 minutes", ["user_id"], F.count("*").alias("n"))
-    return V.run_to_table(t, "sessions")
+    t = V.sessions(_stream(spark, sf_dir), "ts", None, "30 minutes", ["user_id"], F.count("*").alias("n"))
+    return V.run_whole(t, "sessions")
 
 
 @query("ltr_fit_weights")

@@ -31,10 +31,15 @@ def retained(events: DataFrame, ts: str, days: int) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
-    """A stream over Parquet files, its event time as a timestamp."""
-    folder, _, name = path.rstrip("/").rpartition("/")
+    """A stream over a Parquet file, or the files of a folder, its event time as a timestamp."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn(ts, F.col(ts).cast("timestamp"))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        files = spark.readStream.schema(schema).parquet(path)
+    else:
+        folder, _, name = path.rstrip("/").rpartition("/")
+        files = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return files.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def _shared(spark: SparkSession, name: str) -> str:
@@ -55,19 +60,41 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_whole(stream: DataFrame, name: str) -> DataFrame:
+    """A stream's aggregates once its input is used up, with the windows still open.
+
+    Complete mode: each batch writes the whole result as a new version, the last one counts.
+    """
+    spark, root = stream.sparkSession, _shared(stream.sparkSession, name)
+    versions: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{root}/version-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        versions.append(path)
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", root + "/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+
+
+def _watermarked(stream: DataFrame, ts: str, delay: str | None) -> DataFrame:
+    """Without a delay no row is late: every window stays open, for run_whole."""
+    return stream if delay is None else stream.withWatermark(ts, delay)
+
+
 def deduplicated(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
     """The first row of each key; keys are forgotten once the watermark has passed them."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def tumbling(stream: DataFrame, ts: str, delay: str, size: str, keys: list[str], *aggregates: Column) -> DataFrame:
+def tumbling(stream: DataFrame, ts: str, delay: str | None, size: str, keys: list[str], *aggregates: Column) -> DataFrame:
     """Aggregates over fixed windows of event time (an extension; so is sessions)."""
-    g = stream.withWatermark(ts, delay).groupBy(F.window(ts, size), *keys).agg(*aggregates)
+    g = _watermarked(stream, ts, delay).groupBy(F.window(ts, size), *keys).agg(*aggregates)
     return g.select(F.col("window.start").alias("start"), *[c for c in g.columns if c != "window"])
 
 
-def sessions(stream: DataFrame, ts: str, delay: str, gap: str, keys: list[str], *aggregates: Column) -> DataFrame:
-    g = stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), *keys).agg(*aggregates)
+def sessions(stream: DataFrame, ts: str, delay: str | None, gap: str, keys: list[str], *aggregates: Column) -> DataFrame:
+    g = _watermarked(stream, ts, delay).groupBy(F.session_window(ts, gap), *keys).agg(*aggregates)
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *[c for c in g.columns if c != "session_window"])
 
 

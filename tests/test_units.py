@@ -1,6 +1,9 @@
 """Cases that the tables don't hold: linkage without chains, parsers, sinks, streams."""
 
+import time
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import address as A
@@ -8,6 +11,7 @@ from skein.functions import parsers as P
 from skein.functions import text as T
 from skein.operators import entity as E
 from skein.operators import recommend as R
+from skein.plans import flow_queries
 from skein.sources import readers, sinks
 from skein.streaming import events as V
 
@@ -105,3 +109,21 @@ def test_retry():
         return "ok"
 
     assert V.retry(work, 5, (TimeoutError,), waits.append) == "ok" and waits == [1.0, 2.0]
+
+
+@pytest.mark.parametrize("kind", ["tumbling", "session"])
+def test_streams_write_every_window(spark, sf_dir, tmp_path, kind):
+    of = {"tumbling": lambda d: V.tumbling(d, "ts", None, "1 day", ["event_type"], F.count("*").alias("n")), "session": lambda d: V.sessions(d, "ts", None, "30 minutes", ["user_id"], F.count("*").alias("n"))}[kind]
+    query = getattr(flow_queries, f"stream_{kind}_ext")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    want = rows(of(events.withColumn("ts", F.col("ts").cast("timestamp"))))
+    assert rows(query(spark, sf_dir)) == want and sum(r[-1] for r in want) == events.where("ts is not null").count()
+    # a folder of several files, the newest events first, a batch a file
+    parts = events.withColumn("part", F.ntile(3).over(Window.orderBy("ts")))
+    for part in (3, 2, 1):
+        parts.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        time.sleep(1.1)
+    assert rows(query(spark, str(tmp_path))) == want
+    by_file = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert rows(V.run_whole(of(by_file), "by-file")) == want
