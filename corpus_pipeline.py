@@ -38,8 +38,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated chunks; a document of which nothing is left goes."""
-    cut = linechunks.remove_repeated(docs, carry=("lang", "source"))
+    """Texts without their repeated runs of lines; a document of which nothing is left goes."""
+    cut = linechunks.remove_runs(docs, carry=("lang", "source"))
     left = cut.where(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 

@@ -114,7 +114,75 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-#: The same rows in DuckDB's SQL over ``documents``.
+#: A line has at least one character, so a window of MIN_CHARS characters has at most so many lines.
+MOST_LINES = max(MIN_LINES, MIN_CHARS)
+
+
+def windows_of(lines: Column) -> Column:
+    """array<struct<start, n, span>>: the least windows of at least MIN_LINES (two) lines and MIN_CHARS characters.
+
+    Each pair of neighbours is one; a shorter pair is extended line by line, once
+    forward from its first line and once backward from its second. Every line of a
+    run of that size then lies in a window within the run.
+    """
+    kind = "array<struct<start:int,n:int,span:string>>"
+
+    def grown(ls, first, n, forward):
+        some = F.slice(ls, first, n) if forward else F.reverse(F.slice(ls, first, n))
+        more = lambda acc, x: F.when(
+            F.char_length(acc["span"]) >= MIN_CHARS, acc
+        ).otherwise(F.struct((acc["n"] + 1).alias("n"), (F.concat(acc["span"], x) if forward else F.concat(x, acc["span"])).alias("span")))
+        return F.aggregate(some, F.struct(F.lit(0).alias("n"), F.lit("").alias("span")), more)
+
+    def at(ls, i):  # i: from 1, the first line of a pair
+        pair = F.concat(F.get(ls, i - 1), F.get(ls, i))
+        whole = F.array(F.struct(i.alias("start"), F.lit(2).alias("n"), pair.alias("span")))
+        lowest = F.greatest(i + 2 - MOST_LINES, F.lit(1))
+        both = F.transform(
+            F.array(F.struct(grown(ls, i, F.lit(MOST_LINES), True).alias("w"), F.lit(True).alias("f")), F.struct(grown(ls, lowest, i + 2 - lowest, False).alias("w"), F.lit(False).alias("f"))),
+            lambda x: F.struct(F.when(x["f"], i).otherwise(i + 2 - x["w"]["n"]).alias("start"), x["w"]["n"].alias("n"), x["w"]["span"].alias("span")),
+        )
+        return F.when(F.char_length(pair) >= MIN_CHARS, whole.cast(kind)).otherwise(F.filter(both.cast(kind), lambda x: F.char_length(x["span"]) >= MIN_CHARS))
+
+    bound = F.transform(F.array(lines), lambda ls: F.when(F.size(ls) > 1, F.flatten(F.transform(F.sequence(F.lit(1), F.size(ls) - 1), lambda i: at(ls, i)))))
+    return F.coalesce(F.get(bound, F.lit(0)), F.array().cast(kind))
+
+
+def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """As remove_repeated, but every line goes that lies in a repeated run of at least MIN_LINES lines and MIN_CHARS characters.
+
+    Runs begin and end anywhere: all windows of a text are looked up, not only its
+    chunks. The first occurrence of a window stays (smallest id, then position), and
+    so does the first one of each line. Windows meet by hash; those whose hashes are
+    not alone are read again and compared byte by byte.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0), *carry).alias("other"))
+    known = rows.where("id is not null")
+    hashed = F.transform(windows_of(lines_of(F.col("text"))), lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.xxhash64(w["span"]).alias("key")))
+    each = durable(known.select("id", F.explode(hashed).alias("w")).select("id", "w.*"), "windows")
+    shared = durable(each.groupBy("key").agg(F.min(F.struct("id", "start")).alias("low"), F.max(F.struct("id", "start")).alias("high")).where("low <> high").select("key"), "shared")
+    hits = durable(each.join(shared, "key").select("id", "start", "n"), "hits")
+    drop_durable(each)
+    at = hits.groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("at"))
+    spans = F.transform("at", lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.array_join(F.slice(F.col("ls"), w["start"], w["n"]), "").alias("span")))
+    texts = known.select("id", "text").join(at, "id").select("id", "at", lines_of(F.col("text")).alias("ls"))
+    told = durable(texts.select("id", F.explode(spans).alias("w")).select("id", "w.*"), "spans")
+    first = durable(told.groupBy("span").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last").select("span", "first"), "firsts")
+    again = told.join(first, "span").where(F.struct("id", "start") > F.col("first"))
+    gone = again.select("id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("line")).groupBy("id").agg(F.collect_set("line").alias("gone"))
+
+    lines = lines_of(F.col("text"))
+    # array_except is by hash: no line is looked up in a list
+    cut = rows.join(gone, "id", "left").select("id", "text", "gone", "other", lines.alias("ls"))
+    left = F.array_except(F.sequence(F.lit(1), F.size("ls")), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("ls"), i - 1)), ""))
+    return cut.select(
+        F.col("id").alias(id_col), text.alias(text_col), F.size("ls").cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("ls") - F.size(left)).cast("long").alias("n_removed"), *(F.col("other")[c].alias(c) for c in carry),
+    )
+
+
+#: The same rows as remove_repeated in DuckDB's SQL over ``documents``.
 ORACLE = f"""
 WITH cut AS (
   SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '(\\n|[.!?] )', '\\1' || chr(31), 'g'), chr(31)), lambda x: x <> '') AS ls

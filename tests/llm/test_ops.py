@@ -261,6 +261,35 @@ def test_line_chunks(spark):
     assert own(3)[:60] in got[2].text and len(got[2].text) < len(rows[1][1]) / 2 + 200
 
 
+def test_line_dedup_takes_short_passages(spark):
+    """Passages of 50 to 100 words, each between foreign lines in two documents: all of them go from the second, and nothing else."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(5000)]
+    sentence = lambda n: " ".join(rng.choice(words, n)) + ". "
+
+    def prose(n):
+        out = []
+        while n > 0:
+            out.append(sentence(min(n, int(rng.integers(1, 25)))))
+            n -= len(out[-1].split())
+        return "".join(out)
+
+    rows, want = [], {}
+    for k in range(150):
+        passage = prose(int(rng.integers(50, 101))) + "\n"
+        a, b, c, d = (prose(60) + "\n" for _ in range(4))
+        rows += [(2 * k, a + passage + b, "en", "s", 0), (2 * k + 1, c + passage + d, "en", "s", 0)]
+        want |= {2 * k: a + passage + b, 2 * k + 1: c[:-1] + d}  # the line break before the passage is common too
+    # short lines are extended to both sides; a line alone, or a run too short, stays
+    rows += [(900, "Oh. No. Ah. This is a line of more than forty characters. So. It. Is. ", "en", "s", 0), (901, "Own one. Oh. No. Ah. This is a line of more than forty characters. So. It. Is. Own two. ", "en", "s", 0), (902, "Else. Oh. No. Other. ", "en", "s", 0), (903, None, "en", "s", 0), (None, rows[0][1], "en", "s", 0)]
+    want |= {900: rows[300][1], 901: "Own one. Own two. ", 902: rows[302][1], 903: None, None: rows[0][1]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert [(k, got.get(k), t) for k, t in want.items() if got.get(k) != t] == []
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
