@@ -4,7 +4,8 @@ The model is serialised here, not trained: every byte string of the vocabulary
 becomes one piece (each byte mapped to one letter), scored by its negative rank,
 with identity normalisation. Sentencepiece merges the neighbours whose joined
 piece scores highest, which is the lowest rank, so each pre-token gets the ids
-that the rank file defines.
+that the rank file defines. Decoding goes back from the ids to the model's pieces
+and from their letters to the bytes.
 
 Edge cases: null and empty texts have no ids (decoded: empty); texts of any
 length are encoded whole; repeated rows each give a row; an empty table gives an
@@ -17,17 +18,18 @@ import base64
 import hashlib
 import re
 import struct
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_memo
+
 #: Letters that stand for the 256 bytes; none is a space or sentencepiece's own mark.
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
 #: Distinct chunks in each of the two generations that a worker remembers.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS, CACHE_CHUNK_CHARS = 400_000, 100
 
 _SPACE_RUN = re.compile(r"\s ")
 
@@ -102,38 +104,48 @@ class ChunkCache:
         return [x for x in re.split(r"(?<=[^\s\x1c-\x1f\x85])(?= )", text) if x]
 
     def __call__(self, texts: list[str | None]) -> list:
-        cut = [self._chunks(t) if t else [] for t in texts]
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
         known = self.known
-        wanted = set().union(*map(set, cut)) if cut else set()
-        if len(known) + len(wanted) > self.limit:
-            self.older, self.known = known, {}
-            known = self.known
-        for chunk in (wanted - known.keys()) & self.older.keys():
+        cut = [self._chunks(t) if t else [] for t in texts]
+        found = [list(map(known.get, c)) for c in cut]
+        lacking = [k for k, values in enumerate(found) if None in values]
+        missing = {chunk for k in lacking for chunk, value in zip(cut[k], found[k], strict=True) if value is None}
+        for chunk in missing & self.older.keys():
             known[chunk] = self.older[chunk]
-        if missing := list(wanted - known.keys()):
-            known.update(zip(missing, self.encode_many(missing), strict=True))
-        get = known.__getitem__
-        return [self.join(list(map(get, c))) for c in cut]
+        if new := list(missing - known.keys()):
+            known.update(zip(new, self.encode_many(new), strict=True))
+        for k in lacking:
+            found[k] = list(map(known.get, cut[k]))
+        for chunk in [c for c in missing if len(c) > CACHE_CHUNK_CHARS]:  # a few very long chunks must not fill the memory
+            del known[chunk]
+        return list(map(self.join, found))
+
+
+def inverse_pieces(model) -> dict[str, bytes]:
+    """Id, as text, to the bytes that its piece stands for, read from the serialised model."""
+    byte_of = {c: b for b, c in enumerate(BYTE_CHARS)}
+    return {str(i): bytes([byte_of[c] for c in model.id_to_piece(i)]) for i in range(model.vocab_size()) if not model.is_unknown(i)}
 
 
-@lru_cache(maxsize=2)
 def _encoder(ranks_path: str, pattern: str):
-    import sentencepiece
-
-    ranks = read_ranks(ranks_path)
-    model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
-    find = regex.compile(pattern).findall
-    table = {str(r): t for t, r in ranks.items()}
-    chars = BYTE_CHARS
-
-    def encode_many(chunks: list[str]) -> list[str]:
-        matches = [find(c) for c in chunks]
-        distinct = list({m for ms in matches for m in ms})
-        ids = model.encode(["".join([chars[b] for b in m.encode("utf-8", "surrogatepass")]) for m in distinct], num_threads=1) if distinct else []
-        said = {m: " ".join(map(str, x)) for m, x in zip(distinct, ids, strict=True)}
-        return [" ".join([said[m] for m in ms]) for ms in matches]
-
-    return ChunkCache(encode_many, " ".join), table
+    def make():
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(read_ranks(ranks_path)))
+        find = regex.compile(pattern).findall
+        chars = BYTE_CHARS
+
+        def encode_many(chunks: list[str]) -> list[str]:
+            matches = [find(c) for c in chunks]
+            distinct = list({m for ms in matches for m in ms})
+            ids = model.encode(["".join([chars[b] for b in m.encode("utf-8", "surrogatepass")]) for m in distinct], num_threads=1) if distinct else []
+            said = {m: " ".join(map(str, x)) for m, x in zip(distinct, ids, strict=True)}
+            return [" ".join([said[m] for m in ms]) for ms in matches]
+
+        return ChunkCache(encode_many, " ".join), inverse_pieces(model)
+
+    return worker_memo("bpe", f"{ranks_path} {pattern}", make)
 
 
 OUT = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -50,12 +52,25 @@ def _remove_all() -> None:
             return
 
 
+#: With this set, the shuffle files of an execution go as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a
-    lost executor costs no more than the reader's own tasks."""
+    lost executor costs no more than the reader's own tasks. The shuffle files
+    behind the table are removed once it is written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,13 +116,30 @@ def fresh_name(taken: list[str], wanted: str) -> str:
 
 
 _memo: dict[str, object] = {}
+_owner = ""
+
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
-def worker_memo(key: str, make):
-    """make() once per key in this Python process; only the last few keys are held."""
+
+def worker_memo(owner: str, key: str, make):
+    """make() once per key in this Python process.
+
+    Workers outlive a stage, so only one owner (an operator's step) holds anything:
+    when another asks, all that the one before remembered is dropped.
+    """
+    global _owner
+    if owner != _owner:
+        if _memo:
+            _memo.clear()
+            _give_back()
+        _owner = owner
     if key not in _memo:
-        while len(_memo) > 2:
-            _memo.pop(next(iter(_memo)))
         _memo[key] = make()
     return _memo[key]
 

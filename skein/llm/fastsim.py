@@ -11,8 +11,11 @@ and Thorup, 2017), at about t ln t + |set| hashes instead of t * |set|.
 Bands of coordinates give buckets. Sets that are equal are one node. In a bucket,
 nodes are compared with the one amid the most copies, and then each pair of nodes
 that are still in different components is compared, so no link that could join two
-components stays untested; pairs inside a component never are listed. Every link is confirmed on the full sets, and components are found by
-large-star and small-star steps on tables, never on the driver.
+components stays untested; pairs inside a component never are listed. What each set
+shares with its bucket's centre, counted exactly, rules out most of the others: beyond
+that, two sets share only elements outside the centre. Every link is confirmed on the
+full sets, and components are found by large-star and small-star steps on tables,
+never on the driver.
 
 With 40 bands of 6 coordinates, two sets of similarity 0.8 share no bucket with
 probability (1 - 0.8^6)^40 < 6e-6.
@@ -48,6 +51,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 40) - 1)
+_LOW31 = np.uint64((1 << 31) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,15 +110,12 @@ def set_digest(x: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(x.tobytes())
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"), F.char_length(text.cast("string")))
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    small = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    small = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _text_hash(F.col(text_col)).alias("h"))
 
     def run(batches):
         for batch in batches:
@@ -134,26 +135,33 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                         keys.append(None)
                         bits.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    names=["id", "n", "node", "keys", "bits"],
+                    [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["id", "h", "n", "node", "keys", "bits"],
                 )
 
-    return small.mapInArrow(run, f"id {dict(small.dtypes)['id']}, n long, node binary, keys array<long>, bits array<long>")
+    return small.mapInArrow(run, f"id {dict(small.dtypes)['id']}, h long, n long, node binary, keys array<long>, bits array<long>")
 
 
 def _may_link(percent: int, a: str, b: str) -> Column:
-    """Sizes and one-bit sketches of nodes a and b don't rule a link out."""
+    """Sizes, one-bit sketches and what is known of their bucket's pivot don't rule out a link of nodes a and b.
+
+    Of a and b both, the elements within the pivot's set are counted; beyond these
+    they can share something only if their elements outside it have a hash in common.
+    """
     least = percent / 100
     agree = (1 + least) / 2
     most_apart = COORDINATES * (1 - agree) + DEVIATIONS * (COORDINATES * agree * (1 - agree)) ** 0.5
     words = -(-COORDINATES // 64)
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseXOR(F.get(f"{b}.bits", F.lit(i)))) for i in range(words)])
     sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    return sizes & (apart <= most_apart)
+    within = F.least(f"{a}.common", f"{b}.common")
+    enough = 100 * within >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - within)
+    return sizes & (apart <= most_apart) & (enough | F.arrays_overlap(f"{a}.outside", f"{b}.outside"))
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, linked, common, outside) for the pairs (a, b): whether the full sets are similar
+    enough, how many elements they share, and hashes of b's elements outside a.
 
     A centre a with many members is copied once per MEMBERS_PER_CENTRE of them, so
     no task takes more than that for one centre.
@@ -172,22 +180,27 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         .select("a", "share", "b", "text")
     )
 
+    names = ["a", "b", "linked", "common", "outside"]
+
     def run(batches):
         centre, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            found_a, found_b = [], []
+            rows = []
             for a, _, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = shingle_set(text, k)
                 if b is None:
-                    if set_digest(x) == a:  # another row may have the same id
+                    if set_digest(x) == a:  # texts meet their nodes by hash
                         centre, own = a, x
-                elif a == centre and set_digest(x) == b and similar(own, x, percent):
-                    found_a.append(a)
-                    found_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], names=["a", "b"])
+                elif a == centre and set_digest(x) == b:
+                    beyond = np.setdiff1d(x, own, assume_unique=True)
+                    common = len(x) - len(beyond)
+                    rows.append((a, b, 100 * common >= percent * (len(own) + len(beyond)), common, (beyond & _LOW31).astype(np.int32)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
     both = centres.unionByName(members).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
-    return durable(both.mapInArrow(run, "a binary, b binary"), "links")
+    return durable(both.mapInArrow(run, "a binary, b binary, linked boolean, common long, outside array<int>"), "compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,9 +247,9 @@ def _joined(links: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     each = durable(_sketched(docs, id_col, text_col, k), "sketched")
-    # one row for each set, though its copies may be many
+    # one row for each set, though its copies may be many; h: hash of one of its texts
     nodes = durable(
-        each.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")),
+        each.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.min("h").alias("h"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")),
         "nodes",
     )
     entries = nodes.select("node", F.explode("keys").alias("bucket"))
@@ -245,32 +258,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # a node amid many copies shares large buckets in most bands: it is the one to compare the others with
     weights = durable(members.groupBy("node").agg(F.sum("c").alias("weight")), "weights")
-    facts = durable(nodes.join(weights, "node").select("node", "n", "bits", "keys", "first_id", "weight"), "facts")
+    facts = durable(nodes.join(weights, "node").select("node", "n", "bits", "keys", "h", "weight"), "facts")
     weighed = members.join(weights, "node").select("bucket", "node", "weight")
     pivots = durable(weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot")), "pivots")
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = durable(source.join(facts.where("first_id is not null").select("node", F.col("first_id").alias("id")), "id").select("node", "text"), "texts")
+    # a text for each node, by the hash of one of its texts: copies are dropped before they are shuffled
+    source = docs.select(_text_hash(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = durable(source.groupBy("h").agg(F.min("text").alias("text")).join(facts.select("node", "h"), "h").select("node", "text"), "texts")
 
     # every member against its bucket's pivot
     starred = members.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    labels = durable(components(_confirm(starred, texts, k, percent)), "labels")
+    stars = _compared(starred, texts, k, percent)
+    labels = durable(components(stars.where("linked").select("a", "b")), "labels")
 
     # what is left in different components of one bucket, each pair in the first bucket that it shares
     now = durable(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "now")
     per_label = durable(now.groupBy("bucket", "label").agg(F.count("*").alias("c")), "perlabel")
     mixed = durable(per_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main")).where("labels > 1"), "mixed")
-    rows = durable(now.join(mixed, "bucket").select("bucket", "node", "label", (F.col("label") == F.col("main")).alias("is_main")), "rows")
-    rows = durable(rows.join(facts, "node").select("bucket", "node", "label", "is_main", "n", "bits", "keys"), "rows")
+    rows = now.join(mixed, "bucket").join(pivots, "bucket").select("bucket", "pivot", "node", "label", (F.col("label") == F.col("main")).alias("is_main"))
+    rows = durable(rows.join(facts, "node").select("bucket", "pivot", "node", "label", "is_main", "n", "bits", "keys"), "rows")
+    own = F.col("node") == F.col("pivot")
+    known = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "common", "outside")
+    rows = rows.join(known, ["pivot", "node"], "left").select(
+        "bucket", "node", "label", "is_main", "n", "bits", "keys",
+        F.when(own, F.col("n")).otherwise(F.col("common")).alias("common"), F.when(own, F.array().cast("array<int>")).otherwise(F.col("outside")).alias("outside"),
+    )
+    rows = durable(rows, "rows")
+    side = lambda of: F.struct("n", "bits", "keys", "common", "outside").alias(of)
     # the largest component of a bucket is on one side only: pairs within it never arise
-    left = rows.where("not is_main").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.struct("n", "bits", "keys").alias("fa"))
-    right = rows.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), "is_main", F.struct("n", "bits", "keys").alias("fb"))
-    left, right = left.alias("l"), right.alias("r")
+    left = rows.where("not is_main").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), side("fa")).alias("l")
+    right = rows.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), "is_main", side("fb")).alias("r")
     first_shared = F.get(F.array_intersect(F.col("fa.keys"), F.col("fb.keys")), F.lit(0)) == F.col("l.bucket")
     apart = (F.col("label_a") != F.col("label_b")) & (F.col("is_main") | (F.col("a") < F.col("b")))
     pairs = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & apart & _may_link(percent, "fa", "fb") & first_shared).select("a", "b")
-    links = _confirm(pairs, texts, k, percent)
-    labels = _joined(links, labels)
+    links = _compared(pairs, texts, k, percent)
+    labels = _joined(links.where("linked").select("a", "b"), labels)
 
     groups = nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     groups = durable(groups, "groups")

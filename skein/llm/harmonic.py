@@ -16,7 +16,9 @@ columns are not read.
 from __future__ import annotations
 
 import bisect
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkCache
-from .common import durable
+from .common import durable, worker_memo
 
 CAPACITY = 1024
 #: Classes that a cut may aim at; shorter pieces take a power of two per sequence.
@@ -102,19 +104,23 @@ def best_fit(pieces: list[tuple[int, object]], capacity: int, first_id: int):
         bisect.insort(room, (free - length, seq))
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str):
-    import os
+    def make():
+        import os
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
-    one = lambda text: pack(tok.encode(text, add_special_tokens=False).ids)
-    many = lambda chunks: [pack(x.ids) for x in tok.encode_batch_fast(chunks, add_special_tokens=False)]
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    return ChunkCache(many, b"".join), one, special
+        tok = Tokenizer.from_file(path)
+        pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
+        if sys.byteorder == "little" and array("I").itemsize == 4:
+            pack = lambda ids: array("I", ids).tobytes()
+        one = lambda text: pack(tok.encode(text, add_special_tokens=False).ids)
+        many = lambda chunks: [pack(x.ids) for x in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        special = [t.content for t in tok.get_added_tokens_decoder().values()]
+        return ChunkCache(many, b"".join), one, special
+
+    return worker_memo("harmonic", path, make)
 
 
 _PIECE = "`start` long, `length` long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -198,18 +204,20 @@ def _fill(left: DataFrame, id_col: str, capacity: int, level: int, last: bool, c
     A group holds under FAN_IN * (sum of class sizes) rows, whatever the input.
     """
 
-    def fill(pdf):
-        pdf = pdf.sort_values(["length", id_col, "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        base = (level << 56) | (int(pdf["worker"].iloc[0]) << 32)
-        filler = Filler(base)
-        seq, off = [None] * len(pdf), [None] * len(pdf)
-        for k, n in enumerate(pdf["length"]):
-            for p, s, o in filler.add(int(n), k, capacity):
+    def fill(table: pa.Table) -> pa.Table:
+        # ids stay in Arrow: through floating point, long ids beside a null one would be rounded
+        table = table.sort_by([(c, "ascending") for c in ("length", id_col, "start", "ids_crc32")])
+        lengths = table.column("length").to_pylist()
+        filler = Filler((level << 56) | (table.column("worker")[0].as_py() << 32))
+        seq, off = [None] * len(lengths), [None] * len(lengths)
+        for k, n in enumerate(lengths):
+            for p, s, o in filler.add(n, k, capacity):
                 seq[p], off[p] = s, o
         if last:
             for p, s, o in best_fit(filler.rest(), capacity, filler.next_id):
                 seq[p], off[p] = s, o
-        pdf["sequence_id"], pdf["offset"] = np.array(seq, dtype=object), np.array(off, dtype=object)
-        return pdf
+        for name, told in (("sequence_id", seq), ("offset", off)):
+            table = table.set_column(table.schema.get_field_index(name), name, pa.array(told, pa.int64()))
+        return table
 
-    return left.groupBy("worker").applyInPandas(fill, left.schema)
+    return left.groupBy("worker").applyInArrow(fill, left.schema)

@@ -12,8 +12,8 @@ crc32 of the id, so a fixed choice); everything else covers all rows.
 
 Edge cases: null, empty and blank texts, and all texts if no label could be
 learned from, get the labelled rows' share of label 1 (0.5 without any); ids that
-repeat in the labels count with their smallest label; repeated documents each
-give a row; texts are read whole; extra columns are ignored.
+repeat in the labels count with their smallest label and least text; repeated
+documents each give a row; texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,8 +100,8 @@ class Counter:
         return out
 
 
-def _counts(key: str = "knnquality.counter") -> Counter:
-    return worker_memo(key, Counter)
+def _counts() -> Counter:
+    return worker_memo("knnquality", "counter", Counter)
 
 
 @dataclass
@@ -179,7 +179,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     df, n = document_frequencies(docs, text_col)
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label_"))
     ids = one.orderBy(F.crc32(F.col(id_col).cast("string").cast("binary")), id_col).limit(MAX_LABELLED)
-    x, y = _sample(docs.select(id_col, text_col).join(F.broadcast(ids), id_col), text_col, "label_")
+    # one text for each label, the least, so that repeated ids send no more than that to the driver
+    named = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_")).join(F.broadcast(ids.select(F.col(id_col).alias("id_"), "label_")), "id_")
+    x, y = _sample(named.groupBy("id_", "label_").agg(F.min("text_").alias("text_")), "text_", "label_")
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
     model = Model(idf, np.eye(DIMENSIONS, min(LATENT, DIMENSIONS), dtype=np.float32), np.zeros((0, LATENT), np.float32), y, float(y.mean()) if len(y) else 0.5)
     if len(y):

@@ -4,17 +4,20 @@ A line ends at a newline, or at a sentence end within one (prose is often stored
 without hard breaks). Each line is hashed; a hash rolled over each pair of
 neighbouring line hashes decides whether a chunk ends there. A boundary thus
 depends on two lines only, and lines added or removed elsewhere shift no other.
-Chunks are grouped by hash and by their bytes, so equal hashes alone remove
-nothing; of a chunk of at least two lines that occurs more than once, the first
+Chunks are first grouped by hash alone, without their text; of those whose hash
+is not alone the bytes are read again and grouped, so equal hashes alone remove
+nothing. Of a chunk of at least two lines that occurs more than once, the first
 occurrence stays (smallest id, then position) and the others are cut out.
 
-All DataFrame functions. The chunk texts are written once and shuffled once,
-pre-aggregated; ids and positions of chunks once; the documents once.
+All DataFrame functions. Hashes, ids and positions are shuffled; of the texts only
+the chunks with a hash in common, pre-aggregated, and each document to meet what
+goes from it.
 
 Edge cases: null texts stay null, empty ones empty; a text without two lines
 stays as it is; rows with a null id are left alone and count as no occurrence;
-rows that share an id are one document (each loses the same chunks); an empty
-table gives an empty result; other columns are not read.
+rows that share an id count as one document: of a chunk's first document the
+smallest position stays, in each of its rows; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,16 +44,23 @@ def lines_of(text: Column) -> Column:
     marked = t
     for end in ("\n", ". ", "! ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    cut = F.when(F.contains(t, F.lit(MARK)), F.split(t, LINE_END, -1)).otherwise(F.split(marked, MARK, -1))
-    return F.filter(cut, lambda x: x != "")
+    # a mark follows a line's end, so that only what comes after the last one can be empty
+    by_mark = F.split(F.rtrim(marked, F.lit(MARK)), MARK, -1)
+    by_pattern = F.filter(F.split(t, LINE_END, -1), lambda x: x != "")
+    return F.when(t == "", F.array().cast("array<string>")).when(F.contains(t, F.lit(MARK)), by_pattern).otherwise(by_mark)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once: a one-row array binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+CHUNK = "array<struct<line:int,n:int,chunk:string,chars:int>>"
 
 
 def chunks_of(lines: Column) -> Column:
-    """array<struct<pos, n_lines, chunk, span, long>>: consecutive chunks that together are the text.
+    """array<struct<line, n, chunk, chars>>: consecutive chunks of n lines from that line (from 1) that together are the text."""
 
-    span: what must repeat for the chunk to go: itself, or with the chunk before it
-    (the first: after it) if it is too short; long: the span is long enough to count.
-    """
     def ends(ls, hs):
         n = F.size(ls)
         rolled = lambda i: F.substring(F.md5(F.concat(F.get(hs, i - 2), F.get(hs, i - 1)).cast("binary")), 1, 1)
@@ -58,59 +68,89 @@ def chunks_of(lines: Column) -> Column:
 
     def cut(ls, es):
         def chunk(e, k):
-            start = F.coalesce(F.get(es, k - 1), F.lit(0))
-            return F.struct(k.alias("pos"), (e - start).alias("n_lines"), F.array_join(F.slice(ls, start + 1, e - start), "").alias("chunk"))
+            n = F.when(k > 0, e - F.get(es, k - 1)).otherwise(e)
+            whole = lambda m: F.when(m == 1, F.get(ls, e - 1)).otherwise(F.array_join(F.slice(ls, e - m + 1, m), ""))
+            return _once(n, lambda m: _once(whole(m), lambda t: F.struct((e - m + 1).alias("line"), m.alias("n"), t.alias("chunk"), F.char_length(t).alias("chars"))))
 
         return F.transform(es, chunk)
 
-    def spanned(cs):
-        def one(c, k):
-            before = F.when(k > 0, F.get(cs, k - 1)).otherwise(F.get(cs, k + 1))
-            alone = (c["n_lines"] >= MIN_LINES) & (F.char_length(c["chunk"]) >= MIN_CHARS)
-            both = F.when(k > 0, F.concat(before["chunk"], c["chunk"])).otherwise(F.concat(c["chunk"], F.coalesce(before["chunk"], F.lit(""))))
-            span = F.when(alone, c["chunk"]).otherwise(both)
-            n = c["n_lines"] + F.when(alone, F.lit(0)).otherwise(F.coalesce(before["n_lines"], F.lit(0)))
-            return F.struct(c["pos"].alias("pos"), c["n_lines"].alias("n_lines"), c["chunk"].alias("chunk"), span.alias("span"), ((n >= MIN_LINES) & (F.char_length(span) >= MIN_CHARS)).alias("long"))
+    hashes = lambda ls: F.transform(ls, lambda x: F.md5(x.cast("binary")))
+    found = _once(lines, lambda ls: _once(hashes(ls), lambda hs: _once(ends(ls, hs), lambda es: cut(ls, es))))
+    return F.coalesce(found, F.array().cast(CHUNK))
 
-        return F.transform(cs, one)
 
-    # one-row arrays bind lines, hashes and ends, so that each is worked out once
-    hashed = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("ls"), F.transform(ls, lambda x: F.md5(x.cast("binary"))).alias("hs")))
-    ended = F.transform(hashed, lambda x: F.struct(x["ls"].alias("ls"), ends(x["ls"], x["hs"]).alias("es")))
-    none = F.array().cast("array<struct<pos:int,n_lines:int,chunk:string,span:string,long:boolean>>")
-    made = F.transform(F.transform(ended, lambda x: cut(x["ls"], x["es"])), spanned)
-    return F.coalesce(F.get(made, F.lit(0)), none)
+def keys_of(chunks: Column) -> Column:
+    """array<struct<line, n, more, key>>: chunks whose span is long enough, and the hash of the span.
+
+    The span is what must repeat for the chunk to go: itself, or if it is too short,
+    itself and the chunk before it (the first one: after it), of -more (more) lines.
+    """
+
+    def one(c, k):
+        other = F.get(chunks, F.when(k > 0, k - 1).otherwise(F.lit(1)))
+        short = F.when(
+            (c["n"] + F.coalesce(other["n"], F.lit(0)) >= MIN_LINES) & (c["chars"] + F.coalesce(other["chars"], F.lit(0)) >= MIN_CHARS),
+            F.struct(
+                c["line"].alias("line"), c["n"].alias("n"), (F.coalesce(other["n"], F.lit(0)) * F.when(k > 0, -1).otherwise(1)).alias("more"),
+                F.xxhash64(F.when(k > 0, F.concat(other["chunk"], c["chunk"])).otherwise(F.concat(c["chunk"], F.coalesce(other["chunk"], F.lit(""))))).alias("key"),
+            ),
+        )
+        own = F.struct(c["line"].alias("line"), c["n"].alias("n"), F.lit(0).alias("more"), F.xxhash64(c["chunk"]).alias("key"))
+        return F.when((c["n"] >= MIN_LINES) & (c["chars"] >= MIN_CHARS), own).otherwise(short)
+
+    return F.filter(F.transform(chunks, one), lambda x: x.isNotNull())
+
+
+def span_of(lines: Column, place: Column) -> Column:
+    """The text that keys_of() hashed for a chunk at this place."""
+    start = place["line"] + F.least(place["more"], F.lit(0))
+    return F.array_join(F.slice(lines, start, place["n"] + F.abs(place["more"])), "")
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, text (without what was removed), n_lines, n_removed (lines), and the columns to carry."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0), *carry).alias("other"))
-    cut = rows.select("id", chunks_of(lines_of(F.col("text"))).alias("chunks"))
-    each = cut.where("id is not null").select("id", F.explode("chunks").alias("c")).where("c.long")
-    # two hashes, so that two texts with one 64-bit hash are told apart after the byte comparison
-    each = durable(each.select("id", F.col("c.pos").alias("pos"), F.xxhash64("c.span").alias("key"), F.xxhash64(F.reverse("c.span")).alias("key2"), F.col("c.span").alias("span")), "spans")
-    same_bytes = each.groupBy("key", "key2", "span").agg(F.min("id").alias("first_id"), F.count("*").alias("occurrences")).where("occurrences > 1")
-    repeated = durable(same_bytes.select("key", "key2", "first_id"), "repeated")
-
-    # positions of a chunk in its document: all but the first are repeats within it
-    hits = durable(each.drop("span").join(repeated, ["key", "key2"]), "hits")
-    drop_durable(each)
-    foreign = hits.where(F.col("id") != F.col("first_id")).select("id", "pos")
-    own = hits.where(F.col("id") == F.col("first_id")).groupBy("id", "key", "key2").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
-    again = own.where("last_pos > first_pos").join(hits.drop("first_id"), ["id", "key", "key2"]).where("pos > first_pos").select("id", "pos")
-    gone = foreign.unionByName(again).groupBy("id").agg(F.collect_set("pos").alias("gone"))
-
-    joined = rows.join(gone, "id", "left")
+    known = rows.where("id is not null").withColumn("h", F.xxhash64("text"))
     lines = lines_of(F.col("text"))
-    untouched = joined.select("id", "text", "gone", "other", F.size(lines).alias("n_lines"))
-    kept = untouched.withColumn(
-        "left", F.when(F.col("gone").isNotNull(), F.filter(chunks_of(lines), lambda c: ~F.array_contains(F.col("gone"), c["pos"])))
-    )
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda c: c["chunk"]), ""))
-    left = F.aggregate(F.col("left"), F.lit(0), lambda n, c: n + c["n_lines"])
-    return kept.select(
-        F.col("id").alias(id_col), text.alias(text_col), F.col("n_lines").cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - left).cast("long").alias("n_removed"), *(F.col("other")[c].alias(c) for c in carry),
+
+    # chunks by hash only; of one key, those that are alone repeat nothing
+    keyed = _once(lines, lambda ls: F.struct(F.size(ls).alias("n_lines"), _once(chunks_of(ls), keys_of).alias("keys")))
+    cut = durable(known.select("id", "h", keyed.alias("x")).select("id", "h", "x.*"), "chunks")
+    place = F.struct("line", "n", "more")
+    each = cut.select("id", "h", F.inline("keys"))
+    shared = durable(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
+    hits = durable(each.join(shared, "key").select("id", "h", "line", "n", "more", "key"), "hits")
+
+    # the bytes of these: which of them are equal, and whose is the first
+    places = hits.groupBy("id", "h").agg(F.collect_set(place).alias("places"))
+    spans = _once(lines, lambda ls: F.transform("places", lambda p: F.struct(p["line"].alias("line"), p["n"].alias("n"), p["more"].alias("more"), span_of(ls, p).alias("span"))))
+    told = known.select("id", "h", "text").join(places, ["id", "h"]).select("id", "h", F.inline(spans)).withColumn("key", F.xxhash64("span"))
+    texts = durable(told.groupBy("key", "span").agg(F.min("id").alias("first_id"), F.count("*").alias("c")), "texts")
+    by_key = durable(texts.groupBy("key").agg(F.count("*").alias("texts"), F.min("first_id").alias("first_id"), F.sum("c").alias("c")).where("texts > 1 or c > 1"), "keys")
+    # a key with one text stands for its bytes; where two texts meet in one key, the texts themselves decide
+    repeats = hits.join(by_key.where("texts = 1").select("key", "first_id"), "key").select("id", "h", "line", "n", "key", "first_id", F.lit(None).cast("string").alias("span"))
+    if not by_key.where("texts > 1").isEmpty():
+        mixed = told.join(by_key.where("texts > 1").select("key"), "key", "left_semi")
+        repeats = repeats.unionByName(mixed.join(texts.where("c > 1").select("key", "span", "first_id"), ["key", "span"]).select(*repeats.columns))
+    foreign = repeats.where("id <> first_id").select("id", "h", "line", "n")
+    # places in the document of the first occurrence: all but the first are repeats within it
+    own = repeats.where("id = first_id")
+    ends = own.groupBy("id", "key", "span").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line")).where("last_line > first_line")
+    same = (own.id == ends.id) & (own.key == ends.key) & own.span.eqNullSafe(ends.span) & (own.line > ends.first_line)
+    again = own.join(ends, same, "left_semi").select("id", "h", "line", "n")
+    gone = foreign.unionByName(again).groupBy("id", "h").agg(F.collect_set(F.struct("line", "n")).alias("gone"))
+    facts = durable(cut.groupBy("id", "h").agg(F.min("n_lines").alias("n_lines")).join(gone, ["id", "h"], "left"), "gone")
+    for table in (shared, hits, texts, by_key, cut):
+        drop_durable(table)
+
+    # array_except is by hash: no line is looked up in a list
+    gone_lines = F.flatten(F.transform("gone", lambda g: F.sequence(g["line"], g["line"] + g["n"] - 1)))
+    left = _once(lines, lambda ls: _once(F.array_except(F.sequence(F.lit(1), F.size(ls)), gone_lines), lambda at: F.struct(F.array_join(F.transform(at, lambda i: F.get(ls, i - 1)), "").alias("text"), F.size(at).alias("n"))))
+    joined = known.join(facts, ["id", "h"]).select("id", "other", "n_lines", "text", F.when(F.col("gone").isNotNull(), left).alias("left"))
+    done = joined.select("id", "other", "n_lines", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.col("left.text")).alias("text"), F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.col("left.n")).alias("n_removed"))
+    nameless = rows.where("id is null").select("id", "other", F.size(lines).alias("n_lines"), "text", F.lit(0).alias("n_removed"))
+    return done.unionByName(nameless).select(
+        F.col("id").alias(id_col), F.col("text").alias(text_col), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), *(F.col("other")[c].alias(c) for c in carry)
     )
 
 

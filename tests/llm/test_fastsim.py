@@ -63,6 +63,25 @@ def test_nulls_empty_short_ties_repeats(spark):
     check(spark, rows)
 
 
+def test_null_id_joins_two_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(["x", *words[1:]]), " ".join(["x", *words[1:-4], "y", "y2", "y3", "y4"])
+    check(spark, [(1, a), (None, b), (2, c), (None, "alone here"), (None, "alone  here")])
+
+
+def test_family_of_near_misses(spark):
+    """Copies of one text with so many edits that most are not linked with it, some with each other."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(70)]
+    out = [" ".join(base)]
+    for n in range(160):
+        copy = list(base)
+        for at in rng.sample(range(70), rng.randint(1, 8)):
+            copy[at] = f"e{rng.randint(0, 3)}{at}" if n % 3 else f"own{n}{at}"
+        out.append(" ".join(copy[: rng.choice([70, 70, 62])]))
+    check(spark, list(enumerate(out)))
+
+
 def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, node string, keys long")
     assert fastsim.near_duplicates(docs).count() == 0
