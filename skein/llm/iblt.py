@@ -61,26 +61,33 @@ def _entries(keys: Column, cells: Column, count) -> Column:
     return F.flatten(F.transform(keys, of))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once: a one-row array binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _added(c: Column, e: Column) -> Column:
+    return _cell(c["pos"], c["count"] + e["count"], c["key"].bitwiseXOR(e["key"]), c["check"].bitwiseXOR(e["check"]))
+
+
 def _merged(entries: Column) -> Column:
-    """Entries of equal position joined into one cell; cells that hold nothing are left out."""
-    zero = F.struct(
-        F.array().cast("array<struct<pos:int,count:int,key:bigint,check:bigint>>").alias("out"),
-        F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("count"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check")).alias("cur"),
-    )
+    """Entries of equal position joined into one cell; cells that hold nothing are left out.
 
-    def kept(acc):
-        c = acc["cur"]
-        empty = (c["count"] == 0) & (c["key"] == 0) & (c["check"] == 0)
-        return F.when(empty, acc["out"]).otherwise(F.concat(acc["out"], F.array(c)))
+    Sorted by position, each run of equal ones is joined on its own, so the work is in proportion.
+    """
 
-    def step(acc, e):
-        c = acc["cur"]
-        joined = F.struct(
-            acc["out"].alias("out"), _cell(c["pos"], c["count"] + e["count"], c["key"].bitwiseXOR(e["key"]), c["check"].bitwiseXOR(e["check"])).alias("cur")
-        )
-        return F.when(c["pos"] == e["pos"], joined).otherwise(F.struct(kept(acc).alias("out"), e.alias("cur")))
+    def joined(es):
+        last = F.filter(F.sequence(F.lit(1), F.size(es)), lambda i: (i == F.size(es)) | (F.get(es, i)["pos"] != F.get(es, i - 1)["pos"]))
+
+        def run(end, before):
+            first = F.get(es, before)
+            many = F.aggregate(F.slice(es, before + 2, end - before - 1), first, _added)
+            return F.when(end == before + 1, first).when(end == before + 2, _added(first, F.get(es, before + 1))).otherwise(many)
+
+        return _once(last, lambda ends: F.transform(ends, lambda end, k: run(end, F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1)))))
 
-    return F.aggregate(F.sort_array(entries), zero, step, kept)
+    found = F.when(F.size(entries) == 0, entries).otherwise(_once(F.sort_array(entries), joined))
+    return F.filter(found, lambda c: (c["count"] != 0) | (c["key"] != 0) | (c["check"] != 0))
 
 
 def sketch(keys: Column, cells: Column) -> Column:
@@ -162,13 +169,19 @@ def as_text(keys: Column, cells: Column) -> Column:
     return F.concat(F.size(keys).cast("string"), F.lit("|"), F.array_join(said, ","))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, more=None) -> DataFrame:
     """id, text (null as empty), next_text: the text of the row that follows by ascending id; after the last, the first.
 
+    more: names and columns made of ``text``; of each, the row has its own value and, as
+    next_<name>, that of the row that follows. They are worked out once a row, after
+    the shuffle.
+
     Rows are dealt into buckets of neighbouring ids, one shuffle of the texts; only
     the first row of each bucket is looked up from the bucket before it.
     """
     spark = docs.sparkSession
+    more = more or {}
+    names = ["text", *more]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], F.lit(20 * n))).first()[0] or []
@@ -184,12 +197,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     starts = spark.createDataFrame(follows or [(-1, -1, None)], "before int, at int, first_id long")
     own = rows.select("id", "text", "h", F.col("bucket").alias("at"))
     first = own.join(F.broadcast(starts), (own.at == starts.at) & own.id.eqNullSafe(starts.first_id))
-    heads = durable(first.groupBy("before").agg(F.min_by("text", "h").alias("head")), "heads")
+    heads = first.groupBy("before").agg(F.min_by("text", "h").alias("text"))
+    heads = durable(heads.select("before", "text", *(c.alias(x) for x, c in more.items())).select("before", F.struct(*names).alias("head")), "heads")
 
+    dealt = rows.repartition("bucket").select("id", "h", "bucket", "text", *(c.alias(x) for x, c in more.items()))
     w = Window.partitionBy("bucket").orderBy(*order)
-    seen = rows.withColumn("after", F.lead(F.struct("text")).over(w))
-    out = seen.join(heads, seen.bucket == heads.before, "left")
-    return out.select("id", "text", F.when(F.col("after").isNull(), F.col("head")).otherwise(F.col("after.text")).alias("next_text"))
+    seen = dealt.withColumn("after", F.lead(F.struct(*names)).over(w))
+    out = seen.join(heads, seen.bucket == heads.before, "left").withColumn("after", F.coalesce("after", "head"))
+    return out.select("id", *names, *(F.col(f"after.{x}").alias(f"next_{x}") for x in names))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,17 +212,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text swaps the last quarter for the beginning of the next document.
     """
-    n = F.char_length("text")
-    rows = with_next(docs, id_col, text_col).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.expr("left(next_text, cast(floor(char_length(text) / 4) as int))")))
-    cells = F.lit(BASE_CELLS)
-    keyed = rows.select(
-        "id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("ka"), digests(F.col("edited")).alias("ke"), digests(F.col("next_text")).alias("kn"),
-    )
-    sketched = keyed.select("*", sketch(F.col("ka"), cells).alias("sa"), sketch(F.col("ke"), cells).alias("se"), sketch(F.col("kn"), cells).alias("sn"))
+    n, cells = F.char_length("text"), F.lit(BASE_CELLS)
+    keys = lambda text: _once(digests(text), lambda ks: F.struct(ks.alias("keys"), sketch(ks, cells).alias("cells")))
+    rows = with_next(docs, id_col, text_col, {"s": keys(F.col("text"))})
+    edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.expr("left(next_text, cast(floor(char_length(text) / 4) as int))"))
+    told = _once(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), keys(e).alias("s")))
+    of = lambda x: (F.col(f"{x}.keys"), F.col(f"{x}.cells"))
+    like = lambda a, b: likeness(a[0], b[0], a[1], b[1])
+    sketched = rows.select("id", n.cast("long").alias("n_chars"), "s", "next_s", told.alias("e"))
     return sketched.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256",
-        as_text(F.col("ka"), F.col("sa")).alias("fingerprint"), as_text(F.col("ke"), F.col("se")).alias("edited_fingerprint"),
-        likeness(F.col("ka"), F.col("ke"), F.col("sa"), F.col("se")).alias("near_edited"),
-        likeness(F.col("ka"), F.col("kn"), F.col("sa"), F.col("sn")).alias("near_next"),
+        F.col("id").alias(id_col), "n_chars", F.col("e.sha").alias("edited_sha256"),
+        as_text(*of("s")).alias("fingerprint"), as_text(*of("e.s")).alias("edited_fingerprint"),
+        like(of("s"), of("e.s")).alias("near_edited"), like(of("s"), of("next_s")).alias("near_next"),
     )

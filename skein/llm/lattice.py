@@ -6,11 +6,13 @@ each distinct word, times how often the word occurs. A word's probability sums o
 into pieces, by a forward recursion in log space; a text is its words, each with a
 leading word mark, then an end token. Since no piece reaches over a word mark
 other than at its start, the lattice of a text is the chain of its words'
-lattices, and each distinct word is worked out once.
+lattices, and each distinct word of the corpus is worked out once, whole, however
+long it is. (The public files hold no unigram model; these pieces are a BPE file's,
+so that their scores have to be learned.)
 
-Word counts cover all training rows. The HEAD_WORDS most frequent words of at most
-HEAD_WORD_BYTES bytes, a bounded table, go to every worker; the rest of a text's
-words meet their counts in a join, each distinct word of a text once.
+Word counts cover all training rows. Frequent words of at most HEAD_WORD_BYTES
+bytes, HEAD_WORDS of them at most, go to every worker with their counts and scores;
+the rest of a text's words meet theirs in a join, each distinct word of a text once.
 
 Edge cases: null and empty texts, and texts of white space, have one token, the
 end; a null id counts as not held out and not in training; repeated rows count and
@@ -35,11 +37,11 @@ from .common import drop_durable, durable, id_remainder, words_of, worker_memo
 
 MARK = "▁"
 HEAD_WORDS, HEAD_WORD_BYTES = 100_000, 48
-CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 80
-#: Rounds of expectation maximisation over all words; longer words are learned from in parts of EM_WORD_CHARS.
-EM_ROUNDS, EM_WORD_CHARS = 7, 40
-#: Parts in one row of lattices; such a row has half a megabyte, so few are read and sent at a time.
-CHUNK_PARTS = 4096
+#: Distinct words that a task counts before it passes them on.
+COUNTED_WORDS = 300_000
+EM_ROUNDS = 7
+#: Words, and about the most characters, in one row of lattices; such a row has half a megabyte, so few are read and sent at a time.
+CHUNK_WORDS, CHUNK_CHARS = 2048, 32_768
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "16", "spark.sql.parquet.columnarReaderBatchSize": "16"}
 LN10 = math.log(10)
 #: Added to each piece's count.
@@ -104,104 +106,139 @@ def word_log_p(word: str, m: Pieces) -> float:
     raise AssertionError
 
 
-def lattice_of(parts: list[str], place: dict[str, int], size: int) -> tuple[np.ndarray, str]:
-    """Edges of the lattices of at most CHUNK_PARTS marked parts, sorted, and the characters that are no piece.
+#: An edge in one number: the node it leads to, the characters it spans and its piece.
+SPAN_BITS, PIECE_BITS = 7, 21
 
-    An edge is end, part, start and piece in one number; place has each piece's
-    number, and -1 for the beginnings of pieces; the k-th character counts as piece size + k.
+
+def lattice_of(words: list[str], place: dict[str, int], size: int) -> tuple[np.ndarray, np.ndarray, str]:
+    """Edges of the lattices of marked words by position and node, the words' lengths, and the characters that are no piece.
+
+    Nodes are the positions in all words, one word after another. place has each
+    piece's number, and -1 for the beginnings of pieces; the k-th character that is
+    no piece counts as piece size + k.
     """
     edges: list[int] = []
+    levels: list[int] = []
     chars: dict[str, int] = {}
-    add = edges.append
-    for at, part in enumerate(parts):
-        text = MARK + part
+    add, add_level = edges.append, levels.append
+    node = 0
+    for word in words:
+        text = MARK + word
         n = len(text)
         for start in range(n):
-            base = at << 26 | start << 20
             if place.get(text[start], -1) < 0:
-                add((start + 1) << 38 | base | chars.setdefault(text[start], size + len(chars)))
+                add((node + start + 1) << 28 | 1 << PIECE_BITS | chars.setdefault(text[start], size + len(chars)))
+                add_level(start + 1)
             for end in range(start + 1, n + 1):
                 piece = place.get(text[start:end])
                 if piece is None:
                     break
                 if piece >= 0:
-                    add(end << 38 | base | piece)
-    return np.sort(np.array(edges, np.int64)), "".join(chars)
-
-
-def expected_pieces(edges: np.ndarray, counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-    """Expected occurrences of each piece over all segmentations of the parts, times their counts.
-
-    Forward in log space. Backward, a point's share of a part's segmentations goes
-    to the edges into it by their shares of its forward sum, so nothing underflows.
-    """
-    piece, start, part, end = edges & 0xFFFFF, edges >> 20 & 63, edges >> 26 & (CHUNK_PARTS - 1), edges >> 38
-    here, there, p = part * 64 + start, part * 64 + end, log_p[piece]
-    bounds = np.searchsorted(end, np.arange(1, 65))
-    forward, share = np.zeros(CHUNK_PARTS * 64), np.zeros(len(edges))
-    spans = [(i, j) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if i < j]
-    for i, j in spans:
-        ways, to = forward[here[i:j]] + p[i:j], there[i:j]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1])
-        n = np.diff(np.append(first, j - i))
-        top = np.maximum.reduceat(ways, first)
-        ways = np.exp(ways - np.repeat(top, n))
-        total = np.add.reduceat(ways, first)
-        forward[to[first]] = top + np.log(total)
-        share[i:j] = ways / np.repeat(total, n)
-    passing = np.zeros(CHUNK_PARTS * 64)
-    last = np.zeros(len(counts), np.int64)
-    np.maximum.at(last, part, end)
-    passing[np.arange(len(counts)) * 64 + last] = counts
-    for i, j in reversed(spans):
-        share[i:j] *= passing[there[i:j]]
-        passing[here[i:j]] += share[i:j]  # edges into one point have different starts
-    return np.bincount(piece, share, len(log_p))
-
-
-def _processor(path: str):
-    def make():
-        import sentencepiece
-
-        return sentencepiece.SentencePieceProcessor(model_file=path)
-
-    return worker_memo("lattice:" + path, make)
+                    add((node + end) << 28 | (end - start) << PIECE_BITS | piece)
+                    add_level(end)
+        node += n + 1
+    packed = np.array(edges, np.int64)
+    return packed[np.lexsort([packed, np.array(levels, np.int64)])], np.array([len(w) + 1 for w in words], np.int64), "".join(chars)
+
+
+class Chunk:
+    """The lattices of some words: forward sums, and the expected pieces of their segmentations."""
+
+    def __init__(self, edges: np.ndarray, lengths: np.ndarray, log_p: np.ndarray):
+        self.piece = edges & ((1 << PIECE_BITS) - 1)
+        self.there = edges >> (PIECE_BITS + SPAN_BITS)
+        self.here = self.there - (edges >> PIECE_BITS & ((1 << SPAN_BITS) - 1))
+        self.size = len(log_p)
+        first = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.nodes, self.last = int(first[-1]), first[1:] - 1
+        level = (np.arange(self.nodes) - np.repeat(first[:-1], lengths + 1))[self.there]
+        bounds = np.append(np.flatnonzero(np.diff(level, prepend=0)), len(level))
+        self.spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        p = log_p[self.piece]
+        self.forward, self.share = np.zeros(self.nodes), np.zeros(len(edges))
+        for i, j in self.spans:
+            ways, to = self.forward[self.here[i:j]] + p[i:j], self.there[i:j]
+            starts = np.flatnonzero(np.diff(to, prepend=-1))
+            n = np.diff(starts, append=j - i)
+            top = np.maximum.reduceat(ways, starts)
+            ways = np.exp(ways - np.repeat(top, n))
+            total = np.add.reduceat(ways, starts)
+            self.forward[to[starts]] = top + np.log(total)
+            self.share[i:j] = ways / np.repeat(total, n)
+
+    def log_p(self) -> np.ndarray:
+        """log of the sum over all segmentations of each word."""
+        return self.forward[self.last]
+
+    def expected_pieces(self, counts: np.ndarray) -> np.ndarray:
+        """Expected occurrences of each piece over all segmentations of the words, times their counts.
+
+        A node's share of a word's segmentations goes back to the edges into it by
+        their shares of its forward sum, so nothing underflows.
+        """
+        passing = np.zeros(self.nodes)
+        passing[self.last] = counts
+        share = self.share.copy()
+        for i, j in reversed(self.spans):
+            share[i:j] *= passing[self.there[i:j]]
+            passing[self.here[i:j]] += share[i:j]  # edges of one level lead to different words or start apart
+        return np.bincount(self.piece, share, self.size)
+
+
+def _chunks(words: list[str]):
+    """Numbers from and to of words that make a row of lattices."""
+    start = chars = 0
+    for k, word in enumerate(words):
+        if k > start and (k - start >= CHUNK_WORDS or chars + len(word) > CHUNK_CHARS):
+            yield start, k
+            start, chars = k, 0
+        chars += len(word)
+    if start < len(words):
+        yield start, len(words)
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
-    """(word, c): occurrences over whole texts, summed within each task before the shuffle."""
+    """(word, c) over whole texts of (text, train): c counts the training rows; summed within each task before the shuffle."""
 
     def run(batches):
         held: Counter = Counter()
 
         def flush():
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
             held.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) > 400_000:
+            for text, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if train:
+                    held.update(words_of(text))
+                else:
+                    for word in set(words_of(text)):
+                        held.setdefault(word, 0)
+                if len(held) > COUNTED_WORDS:
                     yield from flush()
         yield from flush()
 
-    return rows.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select("text", "train").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def learn_pieces(words: DataFrame, ends: int, model_path: str) -> Pieces:
-    """Probabilities of the pieces of the model file, for the training words (word, c).
+def learn_pieces(words: DataFrame, ends: int, model_path: str) -> tuple[Pieces, DataFrame]:
+    """Probabilities of the pieces of the model file for the words (word, c), and (word, c, log_p).
 
     They start from the tokenizer's own segmentation of every distinct word and go
     through EM_ROUNDS rounds of expectation maximisation over all of them, weighted
     by their counts. The lattices are worked out and written once; a round collects
-    one count a piece.
+    one count a piece, and the last pass leaves the words' scores.
     """
+    import sentencepiece
+
     context = words.sparkSession.sparkContext
-    sp = _processor(model_path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     size = sp.vocab_size()
     names: list[str | None] = [None if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) else sp.id_to_piece(i) for i in range(size)]
     # a piece with a mark elsewhere than at its start can be part of no word
     names = [None if x is None or MARK in x[1:] else x for x in names]
+    if max(len(x) for x in names if x) >= 1 << SPAN_BITS:
+        raise ValueError("a piece of the model is too long")
     byte_ids = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(size) if sp.is_byte(i)}
     place = {x: i for i, x in enumerate(names) if x is not None}
     for x in list(place):
@@ -209,32 +246,24 @@ def learn_pieces(words: DataFrame, ends: int, model_path: str) -> Pieces:
             place.setdefault(x[:k], -1)
     told = context.broadcast((sp.serialized_model_proto(), place))
     key = uuid.uuid4().hex
+    fields = ["words", "lengths", "counts", "edges", "chars", "used", "starts"]
+    kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary())
 
     def build(batches):
-        import sentencepiece
-
         proto, place = told.value
-        own = worker_memo("lattice-start:" + key, lambda: sentencepiece.SentencePieceProcessor(model_proto=proto))
+        own = worker_memo("lattice", key, lambda: sentencepiece.SentencePieceProcessor(model_proto=proto))
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_PARTS // 2):
-                some = batch.slice(at, CHUNK_PARTS // 2)
-                told_words, seen = some.column(0).to_pylist(), some.column(1).to_pylist()
-                encoded = own.encode(told_words, num_threads=1)
-                ids = np.array([i for x in encoded for i in x], np.int64)
-                starts = np.bincount(ids, np.repeat(np.array(seen, float), [len(x) for x in encoded]), size)
-                parts, counts = [], []
-                for word, c in zip(told_words, seen, strict=True):
-                    for i in range(0, max(len(word), 1), EM_WORD_CHARS):
-                        parts.append(word[i : i + EM_WORD_CHARS])
-                        counts.append(c)
-                for i in range(0, len(parts), CHUNK_PARTS):
-                    edges, chars = lattice_of(parts[i : i + CHUNK_PARTS], place, size)
-                    used = np.flatnonzero(starts) if i == 0 else ids[:0]
-                    row = (edges.tobytes(), np.array(counts[i : i + CHUNK_PARTS], float).tobytes(), chars, used.tobytes(), starts[used].tobytes())
-                    kinds = (pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["edges", "counts", "chars", "used", "starts"])
-
-    lattices = durable(words.select("word", "c").mapInArrow(build, "edges binary, counts binary, chars string, used binary, starts binary"), "lattices")
+            all_words, all_counts = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            for i, j in _chunks(all_words):
+                some, counts = all_words[i:j], all_counts[i:j].astype(float)
+                encoded = own.encode(some, num_threads=1)
+                starts = np.bincount(np.array([x for ids in encoded for x in ids], np.int64), np.repeat(counts, [len(ids) for ids in encoded]), size)
+                used = np.flatnonzero(starts)
+                edges, lengths, chars = lattice_of(some, place, size)
+                row = ("\n".join(some), lengths.tobytes(), counts.tobytes(), edges.tobytes(), chars, used.tobytes(), starts[used].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=fields)
+
+    lattices = durable(words.select("word", "c").mapInArrow(build, "words string, lengths binary, counts binary, edges binary, chars string, used binary, starts binary"), "lattices")
 
     def summed(rows: DataFrame, of) -> list[float]:
         """of() gives each row's counts by piece; they are summed within each task, then over all."""
@@ -259,11 +288,22 @@ def learn_pieces(words: DataFrame, ends: int, model_path: str) -> Pieces:
     for k, v in SMALL_BATCHES.items():
         conf.set(k, v)
     try:
-        return _rounds(lattices, summed, names, byte_ids, ends)
+        pieces = _rounds(lattices, summed, names, byte_ids, ends)
+        scored = durable(_scores(lattices, pieces, names), "wordscores")
     finally:
         for k, v in before.items():
             conf.set(k, v)
         drop_durable(lattices)
+    return pieces, scored
+
+
+def _by_piece(m: Pieces, names: list[str | None]) -> tuple[np.ndarray, list[float]]:
+    return np.array([m.trie[x] if x is not None else 0.0 for x in names]), m.byte_log_p
+
+
+def _chunk(held, edges: bytes, lengths: bytes, spelled: list[bytes]) -> Chunk:
+    log_p, byte_log_p = held
+    return Chunk(np.frombuffer(edges, np.int64), np.frombuffer(lengths, np.int64), np.concatenate([log_p, [sum(byte_log_p[b] for b in x) for x in spelled]]))
 
 
 def _rounds(lattices: DataFrame, summed, names: list[str | None], byte_ids: dict[int, int], ends: int) -> Pieces:
@@ -274,85 +314,98 @@ def _rounds(lattices: DataFrame, summed, names: list[str | None], byte_ids: dict
 
     counts = summed(lattices.select("used", "starts"), start)
     for _ in range(EM_ROUNDS):
-        m = Pieces.of(names, byte_ids, counts, ends)
-        log_p = np.array([m.trie[x] if x is not None else 0.0 for x in names])
-        held = context.broadcast((log_p, m.byte_log_p))
+        held = context.broadcast(_by_piece(Pieces.of(names, byte_ids, counts, ends), names))
 
-        def one(found, edges, counts, chars, held=held):
-            log_p, byte_log_p = held.value
+        def one(found, edges, lengths, counts, chars, held=held):
             spelled = [x.encode("utf-8", "surrogatepass") for x in chars]
-            by_char = np.array([sum(byte_log_p[b] for b in x) for x in spelled])
-            got = expected_pieces(np.frombuffer(edges, np.int64), np.frombuffer(counts), np.concatenate([log_p, by_char]))
+            got = _chunk(held.value, edges, lengths, spelled).expected_pieces(np.frombuffer(counts))
             found += got[:size]
             for x, c in zip(spelled, got[size:], strict=True):
                 for b in x:
                     if b in byte_ids:
                         found[byte_ids[b]] += c
 
-        counts = summed(lattices.select("edges", "counts", "chars"), one)
+        counts = summed(lattices.select("edges", "lengths", "counts", "chars"), one)
         held.unpersist()
     return Pieces.of(names, byte_ids, counts, ends)
 
 
+def _scores(lattices: DataFrame, pieces: Pieces, names: list[str | None]) -> DataFrame:
+    """(word, c, log_p), natural logarithm, of all words of the lattices."""
+    held = lattices.sparkSession.sparkContext.broadcast(_by_piece(pieces, names))
+
+    def run(batches):
+        for batch in batches:
+            for words, lengths, counts, edges, chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                log_p = _chunk(held.value, edges, lengths, [x.encode("utf-8", "surrogatepass") for x in chars]).log_p()
+                yield pa.RecordBatch.from_arrays([pa.array(words.split("\n")), pa.array(np.frombuffer(counts).astype(np.int64)), pa.array(log_p)], names=["word", "c", "log_p"])
+
+    return lattices.select("words", "lengths", "counts", "edges", "chars").mapInArrow(run, "word string, c long, log_p double")
+
+
+def _frequent(words: DataFrame) -> DataFrame:
+    """Words so frequent that there are at most HEAD_WORDS of them: whole classes of counts, by a histogram of 16 classes to a doubling."""
+    short = words.where((F.octet_length("word") <= HEAD_WORD_BYTES) & (F.col("c") > 0)).withColumn("class", F.floor(F.log2("c") * 16))
+    least, held = None, 0
+    for r in short.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.col("class").desc()).collect():  # at most 16 * 63 rows
+        held += r.n
+        if held > HEAD_WORDS:
+            break
+        least = r["class"]
+    return short.where(F.lit(False) if least is None else F.col("class") >= least)
+
+
 def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     remainder = id_remainder(F.col("id"), modulus)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    train = rows.where(remainder.isNotNull() & (remainder != held))
-    words = durable(_word_counts(train), "wordcounts")
-    ends = train.count()
-    stats = words.agg(F.sum("c"), F.count("*")).first()
+    in_training = F.coalesce(remainder != held, F.lit(False))
+    counted = durable(_word_counts(rows.select("text", in_training.alias("train"))), "wordcounts")
+    ends = rows.where(in_training).count()
+    stats = counted.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     # the end counts as a token and, once seen, as a distinct one
-    n_train, distinct = (stats[0] or 0) + ends, stats[1] + (ends > 0)
-    head_rows = words.where(F.octet_length("word") <= HEAD_WORD_BYTES).orderBy(F.col("c").desc(), "word").limit(HEAD_WORDS)
-    head_rows = head_rows.collect()
-    pieces = learn_pieces(words, ends, model_path)
-    head = {r.word.encode(): math.log10(r.c + 1) for r in head_rows}
-    told = spark.sparkContext.broadcast((pieces, head))
-    key = uuid.uuid4().hex
-
-    def make():
-        return {}
-
+    n_train, distinct = (stats[0] or 0) + ends, (stats[1] or 0) + (ends > 0)
+    pieces, words = learn_pieces(counted, ends, model_path)
+    drop_durable(counted)
+    head = {r.word.encode("utf-8", "surrogatepass"): (math.log10(r.c + 1), r.log_p / LN10) for r in _frequent(words).collect()}
+    told = spark.sparkContext.broadcast((pieces.end_log_p / LN10, head))
     end_base = math.log10(ends + 1)
 
     def run(batches):
-        pieces, head = told.value
-        known = worker_memo(key, make)  # word to its log10 probability
-        names = ["id", "n_tokens", "n_head", "base", "score", "tail"]
-        kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+        end_score, head = told.value
+        get = head.get
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = [[], [], [], [], []]
+                out = [[], [], [], []]
+                tail_words, tail_n, offsets = [], [], [0]
                 for text in part.column(1).to_pylist():
                     counted = Counter(words_of(text))
-                    base, score, n_head, tail = end_base, pieces.end_log_p / LN10, 0, []
+                    base, score, n_head, n_all = end_base, end_score, 0, 0
                     for word, n in counted.items():
-                        b = head.get(word)
-                        if b is None:
-                            tail.append({"word": word.decode("utf-8", "replace"), "n": n})
+                        n_all += n
+                        known = get(word)
+                        if known is None:
+                            tail_words.append(word)
+                            tail_n.append(n)
                         else:
-                            base += n * b
+                            base += n * known[0]
+                            score += n * known[1]
                             n_head += n
-                        p = known.get(word)
-                        if p is None:
-                            p = word_log_p(word.decode("utf-8", "replace"), pieces) / LN10
-                            if len(word) <= CACHE_WORD_BYTES:
-                                if len(known) >= CACHE_WORDS:
-                                    known.clear()
-                                known[word] = p
-                        score += n * p
-                    for column, x in zip(out, (sum(counted.values()) + 1, n_head, base, score, tail), strict=True):
+                    offsets.append(len(tail_words))
+                    for column, x in zip(out, (n_all + 1, n_head, base, score), strict=True):
                         column.append(x)
-                arrays = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), pa.array(out[4], kind)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                tail = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()).cast(pa.string()), pa.array(tail_n, pa.int64())], names=["word", "n"])
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                arrays = [part.column(0), *(pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_tokens", "n_head", "base", "score", "tail"])
 
     id_type = dict(rows.dtypes)["id"]
     made = durable(rows.mapInArrow(run, f"id {id_type}, n_tokens long, n_head long, base double, score double, tail array<struct<word:string,n:long>>").withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = made.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("n"))
-    met = rest.join(words, "word").groupBy("row").agg(F.sum("n").alias("n_tail"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base_tail"))
+    rest = made.select("row", F.inline("tail"))
+    n_known, base, score = F.sum(F.when(F.col("c") > 0, F.col("n"))), F.sum(F.col("n") * F.log10(F.col("c") + 1)), F.sum(F.col("n") * F.col("log_p") / LN10)
+    met = rest.join(words, "word").groupBy("row").agg(n_known.alias("n_tail"), base.alias("base_tail"), score.alias("score_tail"))
     held_out = F.coalesce(remainder == held, F.lit(False))
     # log10((c + 1) / (N + 1 * (V + 1))) is summed as log10(c + 1), less one denominator a token
     denominator = math.log10(n_train + 1 * (distinct + 1))
@@ -361,5 +414,6 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
         F.col("id").alias(id_col), held_out.alias("held_out"), "n_tokens",
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_tail", F.lit(0.0)) - F.col("n_tokens") * denominator).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("base_tail", F.lit(0.0)) - F.col("n_tokens") * denominator).alias("base_score"),
+        (F.col("score") + F.coalesce("score_tail", F.lit(0.0))).alias("score"),
     )

@@ -204,9 +204,9 @@ def test_lattice_learns_from_rare_words(spark):
 
 
 def test_lattice_learns_from_words_of_bytes(spark):
-    """Long words of a script without pieces: their probability is far below the least double."""
+    """Long words of a script without pieces, kept whole: their probability is far below the least double."""
     lao = [chr(c) for c in range(0x0E81, 0x0EAF) if chr(c).isalpha()]
-    long = lambda k: "".join(lao[(k + 3 * j) % len(lao)] for j in range(38))
+    long = lambda k: "".join(lao[(k + 3 * j) % len(lao)] for j in range(70))
     same_scores(spark, [(k, "the of and in to " * 4000) for k in range(40)] + [(100 + k, long(k)) for k in range(3)])
 
 
@@ -302,3 +302,47 @@ def test_pipeline_stages(spark, sf_dir):
     twins = spark.createDataFrame([(i, f"{w} " * 30, "en", "s", 1) for i, w in enumerate(["one two three four five six", "one two three four five six", "seven eight nine ten eleven twelve"])], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, twins, sf_dir).collect()) == [0, 2]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "language ID", "line dedup", "MinHash near-dedup", "packing"]
+
+
+def test_language_grams_and_decision_against_brute_force(spark):
+    """N-grams by code points are those of the letter runs; predictions are those of plain sets of n-grams."""
+    import collections
+
+    import regex
+
+    letters = langmask._letters("test")
+
+    def brute(word):
+        runs = [f" {run} " for run in regex.findall(r"[\p{L}\p{M}]+", word.lower())]
+        return [run[i : i + n] for run in runs for n in langmask.SIZES for i in range(len(run) - n + 1)]
+
+    words = ["The", "a", "12", "don't", "naïve,", "日本語x", "--", "é1é", "Straße", "İx", "x" * 5000]
+    hashes, number = langmask.grams(words, letters)
+    names: dict[int, str] = {}
+    for k, w in enumerate(words):
+        assert sorted(collections.Counter(brute(w)).values()) == sorted(collections.Counter(hashes[number == k].tolist()).values())
+        for g in set(brute(w)):
+            names.setdefault(g, w)
+
+    rng = np.random.default_rng(4)
+    vocab = {lang: ["".join(rng.choice(list(some), rng.integers(2, 8))) for _ in range(60)] for lang, some in (("xx", "abcdefgh"), ("yy", "efghijkl"), ("zz", "ijklmnop"))}
+    rows = [(i, " ".join(rng.choice(vocab[lang], rng.integers(1, 40))), lang) for i, lang in enumerate(["xx", "yy", "zz", "yy"] * 40)]
+    rows += rows[:3] + [(900, "abc " * 20_000, "xx"), (901, None, "xx"), (902, "ab", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = collections.defaultdict(collections.Counter)
+    for _, t, lang in rows:
+        if t and lang:
+            known[lang].update(g for w in t.split() for g in brute(w))
+    holds = {lang: {g for g, c in found.items() if c >= langmask.MIN_RATE * sum(found.values())} for lang, found in known.items()}
+    got = {(r.doc_id, r.text): r for r in langmask.predict(d, langmask.learn(d)).collect()}
+    right = 0
+    for i, t, lang in rows:
+        if t:
+            every = [g for w in t.split() for g in brute(w)]
+            hits = {k: sum(g in s for g in every) for k, s in holds.items()}
+            best = max(sorted(hits), key=hits.get)
+            assert hits[got[i, t].lang_pred] >= hits[best] - 0.01 * len(every)  # filters may hold a little more
+            right += lang == got[i, t].lang_pred
+    assert right >= 0.95 * len(rows) - 3
+    empty = langmask.predict(d.limit(0), langmask.learn(d))
+    assert empty.count() == 0
