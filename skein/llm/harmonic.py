@@ -104,12 +104,24 @@ def best_fit(pieces: list[tuple[int, object]], capacity: int, first_id: int):
         bisect.insort(room, (free - length, seq))
 
 
+#: Signs that may follow a word of letters; with what may come before, a byte-level pattern takes them as a match of their own.
+TAIL = ".,;:!?\"')(*%&$#"
+#: Letters below this are letters to every version of Unicode.
+OLD_LETTERS = "\u0250"
+
+
 def _encoder(path: str):
+    """(chunk cache, encoder of a whole text, special tokens); ids as little-endian unsigned 32-bit integers.
+
+    A new chunk that is a blank, letters and signs is a word and a tail to a
+    byte-level pattern: these two go to the model, without the pre-tokenizer.
+    """
+
     def make():
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tok = Tokenizer.from_file(path)
         pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
@@ -118,7 +130,32 @@ def _encoder(path: str):
         one = lambda text: pack(tok.encode(text, add_special_tokens=False).ids)
         many = lambda chunks: [pack(x.ids) for x in tok.encode_batch_fast(chunks, add_special_tokens=False)]
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        return ChunkCache(many, b"".join), one, special
+        plain = tok.normalizer is None and type(tok.pre_tokenizer) is pre_tokenizers.ByteLevel and not tok.pre_tokenizer.add_prefix_space
+        if not plain:
+            return ChunkCache(many, b"".join), one, special
+
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in [32, *range(33, ord(OLD_LETTERS))] if c == 32 or chr(c).isalpha()}
+        tokenize = tok.model.tokenize
+        tails = {"": b""}
+
+        def encode(chunks: list[str]) -> list[bytes]:
+            out, rest = [], []
+            for k, chunk in enumerate(chunks):
+                word = chunk.rstrip(TAIL)
+                if word[:1] == " " and word[1:].isalpha() and max(word) < OLD_LETTERS:
+                    tail = chunk[len(word) :]
+                    if tail not in tails:
+                        tails[tail] = one(tail)
+                    out.append(pack([t.id for t in tokenize(word.translate(letters))]) + tails[tail])
+                else:
+                    out.append(b"")
+                    rest.append(k)
+            for k, value in zip(rest, many([chunks[k] for k in rest]), strict=True):
+                out[k] = value
+            return out
+
+        return ChunkCache(encode, b"".join), one, special
 
     return worker_memo("harmonic", path, make)
 

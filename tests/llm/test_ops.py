@@ -39,6 +39,23 @@ def test_bpe_is_tiktoken(docs):
     assert bpe.encode_documents(docs.limit(0), path, public.PATTERN).count() == 0
 
 
+def test_chunks_are_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    cache, _, _ = harmonic._encoder(path)
+    texts = ["Plain words, and more (words). Don't we'll it's' \"so\"; x*& a%$# 'tis rock'n'roll's", "Größe, naïve! élan? ŒUVRE: ªº µm ǅ ŉ ƻ ɏ ɐ ʼa", "a1 b2, c.d e-f ... ,, ' 's ''t !a é1", "tail.\n next\n\n  two  blanks ", "日本 語, Ελλάδα. русский! न म", " lead", ".", " .", "x" * 3000 + ", y"]
+    texts += [" ".join(texts)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in cache(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_keeps_ids_beside_null_ones(spark):
+    rows = [(9007199254740993, "a b"), (None, "c d e"), (9007199254740995, "f"), (None, None)]
+    got = harmonic.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), public.path("byte_bpe_50k.json")).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 0, 9007199254740993, 9007199254740995] and sum(r.doc_id is None for r in got) == 2
+
+
 def test_packing_loses_nothing(docs):
     from tokenizers import Tokenizer
 
