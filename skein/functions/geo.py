@@ -38,6 +38,19 @@ def nearest(lat: Column, lon: Column, points: list[tuple[str, float, float]]) ->
     return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(best["name"].alias("name"), best["km"].alias("km")))
 
 
+def nearest_within(lat: Column, lon: Column, group: Column, places: list[tuple[str, str, float, float]]) -> Column:
+    """struct<name, km> of the nearest of the fixed places (name, group, lat, lon) of the row's own group.
+
+    A group without places, or none, has all of them; a missing coordinate, or one
+    outside the city's box, has no nearest place. Ties go to the place named first.
+    """
+    every = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name"), F.lit(g).alias("group"), F.lit(float(y)).alias("y"), F.lit(float(x)).alias("x")) for k, (n, g, y, x) in enumerate(places)])
+    own = F.filter(every, lambda p: p["group"] == group)
+    chosen = F.when(F.size(own) > 0, own).otherwise(every)
+    best = F.array_min(F.transform(chosen, lambda p: F.struct(haversine_km(lat, lon, p["y"], p["x"]).alias("km"), p["k"].alias("k"), p["name"].alias("name"))))
+    return F.when(coordinate_issue(lat, lon).isNull(), F.struct(best["name"].alias("name"), best["km"].alias("km")))
+
+
 def min_km(lat: Column, lon: Column, points: list[tuple[str, float, float]], containing: str) -> Column:
     """Distance to the nearest point whose name contains a text; an error if none does."""
     own = [p for p in points if containing.lower() in p[0].lower()]

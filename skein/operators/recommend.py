@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import with_quantile_bin, with_rank_share
+from ..functions.parsers import DISTRICTS, district_core
+from ..functions.text import ascii_fold
+from . import filters
+from .entity import address_key, first_of
 
 # Hand-set weights of the score's parts.
 WEIGHTS = {"price": 0.30, "value": 0.25, "distance": 0.25, "amenity": 0.20}
@@ -60,6 +64,57 @@ def with_imputed_area(d: DataFrame) -> DataFrame:
     return out.withColumn("area_imputed", F.col("area").isNull()).withColumn("area_est", F.coalesce("area", "m_", "m0_")).drop("kind_", "bin_", "k2_", "b2_", "m_", "m0_")
 
 
+# Patterns of titles and descriptions that hand a contract on, or want women only.
+SUBLET = r"\bpass\b|nhượng|sang lại|sang nhượng"
+WOMEN_ONLY = r"cho nữ|nữ thuê|chỉ nữ|chỉ nhận nữ|ưu tiên nữ"
+#: Characters of a description that the quality marks read.
+DESCRIPTION_CHARS = 400
+#: Wards that the addresses of one point may name before the point counts as a geocoder's fallback.
+FALLBACK_WARDS = 5
+WARD_NAME = r"(?:Phường|Xã|Thị trấn) ([^,]+)"
+
+
+def with_quality_marks(d: DataFrame, districts: tuple[str, ...] = DISTRICTS) -> DataFrame:
+    """d with q_not_sublet, q_any_gender, q_has_address, q_district_ok: 1.0 where there is no doubt.
+
+    The last is 0 if the address or title names districts of the list as whole words,
+    and the row's own is none of them. Null texts count as empty.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = F.lower(F.concat_ws(" ", text("title"), F.substring(text("description"), 1, DESCRIPTION_CHARS)))
+    where = ascii_fold(F.concat_ws(" ", text("address"), text("title")))
+    named = F.filter(F.array(*map(F.lit, districts)), lambda n: F.regexp_like(where, F.concat(F.lit(r"(?<!\w)"), district_core(n), F.lit(r"(?!\w)"))))
+    mark = lambda c: F.when(c, 1.0).otherwise(0.0)
+    return (
+        d.withColumn("q_not_sublet", mark(~F.regexp_like(said, F.lit(SUBLET)))).withColumn("q_any_gender", mark(~F.regexp_like(said, F.lit(WOMEN_ONLY))))
+        .withColumn("q_has_address", mark(address_key(F.col("address")) != ""))
+        .withColumn("q_district_ok", mark((F.size(named) == 0) | F.coalesce(F.array_contains(named, F.col("district")), F.lit(False))))
+    )
+
+
+def without_fallback_points(d: DataFrame, columns: tuple[str, ...] = ("lat", "lon", "district", "ward")) -> DataFrame:
+    """d with geo_suspect, and what came from a fallback point blanked: its rows' addresses name many wards."""
+    ward = F.nullif(F.trim(F.regexp_extract("address", WARD_NAME, 1)), F.lit(""))
+    wards = d.where("lat is not null and lon is not null").groupBy(F.col("lat").alias("y_"), F.col("lon").alias("x_")).agg(F.countDistinct(ward).alias("wards_"))
+    marked = d.join(wards, (d.lat == wards.y_) & (d.lon == wards.x_), "left").withColumn("geo_suspect", F.coalesce(F.col("wards_") >= FALLBACK_WARDS, F.lit(False))).drop("y_", "x_", "wards_")
+    return filters.blanked(marked, F.col("geo_suspect"), list(columns))
+
+
+def prepared(d: DataFrame, order: list[Column], districts: tuple[str, ...] = DISTRICTS) -> DataFrame:
+    """The listings table that searches run over, each step on what the one before left.
+
+    One row per listing_id (the first by order), none that repeats another room, none
+    without a price; fallback points blanked; area estimated unless it has been;
+    typical price, shared rooms and quality marks.
+    """
+    rows = first_of(d, ["listing_id"], order).where("duplicate_of is null and price is not null")
+    rows = without_fallback_points(rows)
+    if "area_est" not in rows.columns:
+        rows = with_imputed_area(rows)
+    rows = with_typical_price(rows).withColumn("is_shared", filters.is_shared(F.col("title"), F.col("price")))
+    return with_quality_marks(rows, districts)
+
+
 def price_score(price: Column, typical: Column, budget: float | Column) -> Column:
     """1 at the reference price; proportional below it, falling gently towards the budget above it."""
     budget = budget if isinstance(budget, Column) else F.lit(float(budget))

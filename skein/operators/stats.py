@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import with_total_before
+
 # Labels of the outlier reasons, in the order in which they are listed.
 PRICE_LOW, PRICE_HIGH, AREA_SMALL, AREA_LARGE, PER_M2 = "price_too_low", "price_too_high", "area_too_small", "area_too_large", "price_per_m2_outlier"
 
@@ -64,8 +66,7 @@ def group_transform(d: DataFrame, keys: str | list[str], *aggregates: Column) ->
 
 def _average_rank(d: DataFrame, column: str, out: str) -> DataFrame:
     counted = d.groupBy(F.col(column).alias("v_")).agg(F.count("*").alias("c_"))
-    before = F.coalesce(F.sum("c_").over(Window.orderBy("v_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counted.select("v_", (before + (F.col("c_") + 1) / 2).alias(out))
+    ranks = with_total_before(counted, "v_", "c_", "before_").select("v_", (F.col("before_") + (F.col("c_") + 1) / 2).alias(out))
     return d.join(ranks, d[column] == ranks.v_).drop("v_")
 
 
@@ -173,10 +174,13 @@ def with_fold(d: DataFrame, group: Column, folds: int = 5, hashed: bool = True)
 
 def oof_group_median(d: DataFrame, key: str, target: str, fold: str) -> DataFrame:
     """d with pred: its group's median over the other folds, or of all rows there."""
+    # values are counted once; what is copied to the other folds is a row per distinct value
     folds = d.select(fold).distinct().withColumnRenamed(fold, "out_")
-    others = folds.crossJoin(d.select(F.col(fold).alias("in_"), F.col(key).alias("key_"), F.col(target).alias("y_"))).where("in_ <> out_")
-    own = others.groupBy("out_", "key_").agg(F.median("y_").alias("m_"))
-    whole = others.groupBy(F.col("out_").alias("fold_")).agg(F.median("y_").alias("a_"))
+    counted = d.groupBy(F.col(fold).alias("in_"), F.col(key).alias("key_"), F.col(target).alias("y_")).agg(F.count("*").alias("c_"))
+    others = F.broadcast(folds).crossJoin(counted).where("in_ <> out_")
+    median = F.percentile("y_", 0.5, F.col("c_"))
+    own = others.groupBy("out_", "key_").agg(median.alias("m_"))
+    whole = others.groupBy("out_", "y_").agg(F.sum("c_").alias("c_")).groupBy(F.col("out_").alias("fold_")).agg(median.alias("a_"))
     joined = d.join(own, (d[fold] == own.out_) & (d[key] == own.key_), "left").join(whole, F.col(fold) == F.col("fold_"))
     return joined.withColumn("pred", F.coalesce("m_", "a_")).drop("out_", "key_", "m_", "fold_", "a_")
 

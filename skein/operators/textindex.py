@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,5 +56,5 @@ def blended(text_scores: DataFrame, other: DataFrame, text_weight: float = 0.6)
 
 def text_blend(d: DataFrame, score: str, similarity: str, cut: float = 0.01) -> DataFrame:
     """d with rank_score: half the score, half the similarity over its maximum; rows at or under the cut go."""
-    top = F.max(similarity).over(Window.partitionBy())
-    return d.withColumn("rank_score", 0.5 * F.col(score) + 0.5 * F.col(similarity) / top).where(F.col(similarity) > cut)
+    top = F.broadcast(d.agg(F.max(similarity).alias("top_")))  # one row
+    return d.crossJoin(top).withColumn("rank_score", 0.5 * F.col(score) + 0.5 * F.col(similarity) / F.col("top_")).drop("top_").where(F.col(similarity) > cut)

@@ -20,7 +20,7 @@ def set_union_by_name(spark, sf_dir):
 @query("set_source_priority", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, doc_id) = 1")
 def set_source_priority(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("m"))
-    return J.by_priority([d.where("source = 'src0'"), d.where("source <> 'src0'")], "m", "doc_id").select("doc_id", "source")
+    return J.by_priority([d.where("source = 'src0'"), d.where("coalesce(source <> 'src0', true)")], "m", "doc_id").select("doc_id", "source")
 
 
 @query("set_partition_replace", "SELECT source, doc_id FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT source, -doc_id - 1 FROM documents WHERE source IN ('src1', 'src2')")
@@ -75,16 +75,21 @@ def stream_upsert(spark, sf_dir):
     return out.select("user_id", "event_type", "event_id")
 
 
-@query("stream_tumbling_ext")
+@query("stream_tumbling_ext", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_tumbling_ext(spark, sf_dir):
     t = V.tumbling(_stream(spark, sf_dir), "ts", None, "1 day", ["event_type"], F.count("*").alias("n"))
-    return V.run_whole(t, "tumbling")
+    return V.run_whole(t, "tumbling").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_session_ext")
+_SESSIONS = """WITH b AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 30 MINUTE, true) AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMP AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k"""
+
+
+@query("stream_session_ext", _SESSIONS)
 def stream_session_ext(spark, sf_dir):
     t = V.sessions(_stream(spark, sf_dir), "ts", None, "30 minutes", ["user_id"], F.count("*").alias("n"))
-    return V.run_whole(t, "sessions")
+    return V.run_whole(t, "sessions").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 @query("ltr_fit_weights")

@@ -80,6 +80,21 @@ def geo_nearest_point(spark, sf_dir):
     return listings(spark, sf_dir).select("listing_id", n["name"].alias("name"), F.round(n["km"], 6).alias("km"))
 
 
+# Wards of some districts and their middles.
+WARDS = [(f"Ward {k}", f"Brand#{k % 20 + 1}", 20.90 + k * 7 % 40 / 200, 105.70 + k * 11 % 40 / 200) for k in range(40)]
+_WARDS = "wards AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', '{g}', CAST({y!r} AS DOUBLE), CAST({x!r} AS DOUBLE))" for k, (n, g, y, x) in enumerate(WARDS)) + ") AS t(k, name, grp, py, px))"
+
+
+@query("geo_nearest_ward", f"""WITH {LISTINGS}, {_WARDS}, l AS (SELECT listing_id, district, CASE WHEN listing_id % 10 <> 0 THEN lat END AS lat, lon FROM listings),
+c AS (SELECT listing_id, name, k, {_hav('lat', 'lon', 'py', 'px')} AS km, grp = district AS own, bool_or(grp = district) OVER (PARTITION BY listing_id) AS any_own FROM l, wards WHERE lat IS NOT NULL),
+n AS (SELECT listing_id, name, round(km, 6) AS km FROM c WHERE own OR NOT any_own QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY km, k) = 1)
+SELECT l.listing_id, name, km FROM l LEFT JOIN n USING (listing_id)""")
+def geo_nearest_ward(spark, sf_dir):
+    d = listings(spark, sf_dir).withColumn("lat", F.when(F.col("listing_id") % 10 != 0, F.col("lat")))
+    n = G.nearest_within(F.col("lat"), F.col("lon"), F.col("district"), WARDS)
+    return d.select("listing_id", n["name"].alias("name"), F.round(n["km"], 6).alias("km"))
+
+
 @query("geo_min_campus", f"WITH {LISTINGS}, {_POINTS} SELECT listing_id, round(min({_hav('lat', 'lon', 'py', 'px')}), 6) AS km FROM listings, pts WHERE contains(lower(name), 'campus') GROUP BY listing_id")
 def geo_min_campus(spark, sf_dir):
     return listings(spark, sf_dir).select("listing_id", F.round(G.min_km(F.col("lat"), F.col("lon"), POINTS, "campus"), 6).alias("km"))

@@ -91,6 +91,62 @@ def rank_impute_area_quintile(spark, sf_dir):
     return R.with_imputed_area(listings(spark, sf_dir)).select("listing_id", "area_imputed", "area_est")
 
 
+# Marks of adverts, dealt to the rooms by number.
+_TITLES = ("Phòng trọ khép kín", "Pass lại phòng đẹp", "Ở ghép cho nữ", "KTX giá rẻ", "Studio gần Brand#3")
+
+
+def _adverts(spark, sf_dir):
+    k = F.col("listing_id")
+    d = listings(spark, sf_dir).drop("is_shared", "q_has_address", "lat", "lon")
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (k % len(_TITLES) + 1).cast("int"))
+    return d.select(
+        *(c for c in d.columns if c not in ("price",)), F.when(k % 23 != 0, F.col("price")).alias("price"), title.alias("title"), F.when(k % 4 == 0, F.lit("nhượng lại")).alias("description"),
+        F.concat(F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(" "))).otherwise(""), F.lit("Phố X, Phường "), F.col("district"), F.lit(", "), F.col("building")).alias("address"),
+        F.when(k % 19 == 0, k - 1).alias("duplicate_of"), (F.lit(20.0) + F.floor(k * 7919 % 2000 / 100)).alias("lat"), (F.lit(105.0) + F.floor(k * 104729 % 2000 / 100)).alias("lon"),
+    )
+
+
+def _adverts_sql() -> str:
+    title = "CASE listing_id % 5 " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in enumerate(_TITLES)) + " END"
+    return f"""adverts AS (
+  SELECT listing_id, house_type, district, area, CASE WHEN listing_id % 23 <> 0 THEN price END AS price, {title} AS title, CASE WHEN listing_id % 4 = 0 THEN 'nhượng lại' ELSE '' END AS description,
+    (CASE WHEN listing_id % 3 = 0 THEN listing_id || ' ' ELSE '' END) || 'Phố X, Phường ' || district || ', ' || building AS address, CASE WHEN listing_id % 19 = 0 THEN listing_id - 1 END AS duplicate_of,
+    20.0 + floor(CAST(listing_id * 7919 % 2000 AS DOUBLE) / 100) AS lat, 105.0 + floor(CAST(listing_id * 104729 % 2000 AS DOUBLE) / 100) AS lon
+  FROM listings)"""
+
+
+_BRANDS = tuple(f"Brand#{n}" for n in range(1, 26))
+_FOLDED = "lower(strip_accents(replace(replace(address || ' ' || title, 'đ', 'd'), 'Đ', 'D')))"
+_MARKS = f"""CAST(NOT regexp_matches(lower(title || ' ' || substr(description, 1, 400)), '\\bpass\\b|nhượng|sang lại|sang nhượng') AS DOUBLE) AS q_not_sublet,
+  CAST(NOT regexp_matches(lower(title || ' ' || substr(description, 1, 400)), 'cho nữ|nữ thuê|chỉ nữ|chỉ nhận nữ|ưu tiên nữ') AS DOUBLE) AS q_any_gender,
+  CAST(regexp_matches(split_part(address, 'Phường', 1), '\\d') AS DOUBLE) AS q_has_address,
+  CAST(len(list_filter({list(_BRANDS)!r}, lambda n: regexp_matches({_FOLDED}, '(?:^|\\W)' || lower(n) || '(?:$|\\W)'))) = 0
+    OR coalesce(list_contains(list_filter({list(_BRANDS)!r}, lambda n: regexp_matches({_FOLDED}, '(?:^|\\W)' || lower(n) || '(?:$|\\W)')), district), false) AS DOUBLE) AS q_district_ok"""
+
+
+@query("rank_quality_marks", f"WITH {LISTINGS}, {_adverts_sql()} SELECT listing_id, {_MARKS} FROM adverts")
+def rank_quality_marks(spark, sf_dir):
+    return R.with_quality_marks(_adverts(spark, sf_dir), _BRANDS).select("listing_id", "q_not_sublet", "q_any_gender", "q_has_address", "q_district_ok")
+
+
+@query("rank_prepared_listings", f"""WITH {LISTINGS}, {_adverts_sql()},
+kept AS (SELECT * FROM adverts WHERE duplicate_of IS NULL AND price IS NOT NULL),
+w AS (SELECT lat, lon, count(DISTINCT district) >= 5 AS bad FROM kept GROUP BY lat, lon),
+g AS (SELECT kept.* EXCLUDE (district, lat, lon), bad AS geo_suspect, CASE WHEN NOT bad THEN district END AS district, CASE WHEN NOT bad THEN kept.lat END AS lat FROM kept JOIN w ON kept.lat = w.lat AND kept.lon = w.lon),
+q AS (SELECT list_distinct([quantile_cont(price, 0.0), quantile_cont(price, 0.2), quantile_cont(price, 0.4), quantile_cont(price, 0.6), quantile_cont(price, 0.8), quantile_cont(price, 1.0)]) AS e, median(price) AS m0, median(area) AS a0 FROM g),
+s AS (SELECT list_sort(e) AS e, m0, a0 FROM q),
+b AS (SELECT g.*, m0, a0, len(list_filter(e[2:len(e) - 1], lambda x: x < price)) AS bin FROM g, s),
+a AS (SELECT house_type, bin, median(area) AS am FROM b GROUP BY ALL),
+t2 AS (SELECT house_type, district, median(price) AS m2, count(price) AS n2 FROM b WHERE district IS NOT NULL GROUP BY ALL),
+t1 AS (SELECT house_type, median(price) AS m1 FROM b GROUP BY ALL)
+SELECT listing_id, geo_suspect, district, lat, coalesce(area, am, a0) AS area_est, coalesce(CASE WHEN n2 >= 30 THEN m2 ELSE m1 END, m0) AS typical_price,
+  regexp_matches(lower(title), 'ghép|slot|giường') OR (regexp_matches(lower(title), 'ktx') AND price < 2500000) AS is_shared, {_MARKS}
+FROM b LEFT JOIN a USING (house_type, bin) LEFT JOIN t2 USING (house_type, district) LEFT JOIN t1 USING (house_type)""")
+def rank_prepared_listings(spark, sf_dir):
+    d = R.prepared(_adverts(spark, sf_dir), [F.col("price").desc()], _BRANDS)
+    return d.select("listing_id", "geo_suspect", "district", "lat", "area_est", "typical_price", "is_shared", "q_not_sublet", "q_any_gender", "q_has_address", "q_district_ok")
+
+
 _VOTES = """votes AS (SELECT l.doc_id, d.lang AS session, d.source AS query, l.quality AS label, CAST(d.doc_id * 7919 % 1009 AS DOUBLE) / 1009 AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
 

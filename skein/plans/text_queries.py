@@ -8,7 +8,7 @@ from ..functions import html as H
 from ..functions import parsers as P
 from ..functions import text as T
 from .catalogue import query
-from .tables import table
+from .tables import LISTINGS, listings, table
 
 # Sample strings for the parsers.
 NAMES = ["Quận Đống Đa", "dong da", "CẦU GIẤY", "huyện sóc sơn", "Chưa rõ", "Thị xã Sơn Tây", "tx. sơn tây", "Cầu Giấy, Bắc Từ Liêm", "  Q. Ba  Đình "]
@@ -221,8 +221,7 @@ def html_balanced_json(spark, sf_dir):
 @query("json_nested_any_minmax", "SELECT event_type, min(k) AS lo, max(k) AS hi, bool_or(k > 90) AS any_high FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
 def json_nested_any_minmax(spark, sf_dir):
     k = F.from_json("props", "k bigint")["k"]
-    grouped = table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.collect_set("k").alias("ks"))
-    return grouped.select("event_type", F.array_min("ks").alias("lo"), F.array_max("ks").alias("hi"), F.exists("ks", lambda x: x > 90).alias("any_high"))
+    return table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.bool_or(F.col("k") > 90).alias("any_high"))
 
 
 @query("json_images_parse")
@@ -245,3 +244,22 @@ def parse_address_candidates(spark, sf_dir):
     rows = [("Số 5, ngõ 102/35 Trường Chinh, Phường Phương Mai, Quận Đống Đa", None, None), ("168/553 Giải Phóng", "Phường Giáp Bát", "Quận Hoàng Mai"), ("Phố Kim Mã, Quận Ba Đình", None, None), ("TP Hồ Chí Minh", None, None), (None, None, "Quận Ba Đình")]
     d = spark.createDataFrame(rows, "address string, ward string, district string")
     return A.with_candidates(d, "address", "ward", "district")
+
+
+@query("sql_registered_functions", f"""WITH {LISTINGS} SELECT listing_id, round(12742.0 * asin(sqrt(sin((radians(21.0) - radians(lat)) / 2) ^ 2 + cos(radians(lat)) * cos(radians(21.0)) * sin(radians(105.8 - lon) / 2) ^ 2)), 6) AS km,
+round(CASE WHEN price < 950.0 THEN least(price / 950.0, 1.0) ELSE 1.0 - 0.5 * (price - 950.0) / greatest(1000.0 - 950.0, 1.0) END, 6) AS s_price FROM listings""")
+def sql_registered_functions(spark, sf_dir):
+    from ..functions.registry import register
+
+    register(spark)
+    listings(spark, sf_dir).createOrReplaceTempView("skein_listings")
+    return spark.sql("SELECT listing_id, round(haversine_km(lat, lon, 21.0D, 105.8D), 6) AS km, round(price_score(price, 950.0D, 1000.0D), 6) AS s_price FROM skein_listings")
+
+
+@query("sql_table_function")
+def sql_table_function(spark, sf_dir):
+    from ..functions.registry import register
+
+    register(spark)
+    listings(spark, sf_dir).select("listing_id", F.concat(F.col("listing_id").cast("string"), F.lit(" "), F.col("house_type")).alias("address"), "district").createOrReplaceTempView("skein_addresses")
+    return spark.sql("SELECT a.listing_id, c.pos, c.level, c.query FROM skein_addresses a, LATERAL address_candidates(a.address, CAST(NULL AS STRING), a.district) c")

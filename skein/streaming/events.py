@@ -7,11 +7,12 @@ so the same code runs as a catch-up job or, with another trigger, for ever.
 from __future__ import annotations
 
 import random
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path, versions
+
 
 def latest(d: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key."""
@@ -42,39 +43,36 @@ def event_stream(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
     return files.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"/tmp/checkpoints/skein-{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
-
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """What a stream appends until its input is used up, from Parquet files.
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream appends until its input is used up, from Parquet files."""
-    spark, path = stream.sparkSession, _shared(stream.sparkSession, name)
+    With a path of the caller's, a later run goes on from the offsets of the one before.
+    """
+    spark = stream.sparkSession
+    path = path or fresh_path(spark, f"stream-{name}")
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", path + "-offsets").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_whole(stream: DataFrame, name: str) -> DataFrame:
+def _newest(stream: DataFrame, root: str) -> DataFrame:
+    spark, found = stream.sparkSession, versions(stream.sparkSession, root)
+    return spark.read.schema(stream.schema).parquet(found[max(found)]) if found else spark.createDataFrame([], stream.schema)
+
+
+def run_whole(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """A stream's aggregates once its input is used up, with the windows still open.
 
-    Complete mode: each batch writes the whole result as a new version, the last one counts.
+    Complete mode: each batch writes the whole result as a new version, the last one
+    counts. With a path of the caller's, a later run goes on from there.
     """
-    spark, root = stream.sparkSession, _shared(stream.sparkSession, name)
-    versions: list[str] = []
+    root = path or fresh_path(stream.sparkSession, f"stream-{name}")
 
     def keep(batch: DataFrame, number: int) -> None:
-        path = f"{root}/version-{number}"
-        batch.write.mode("overwrite").parquet(path)
-        versions.append(path)
+        batch.write.mode("overwrite").parquet(f"{root}/version-{number}")
 
     stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", root + "/offsets").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+    return _newest(stream, root)
 
 
 def _watermarked(stream: DataFrame, ts: str, delay: str | None) -> DataFrame:
@@ -98,20 +96,22 @@ def sessions(stream: DataFrame, ts: str, delay: str | None, gap: str, keys: list
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *[c for c in g.columns if c != "session_window"])
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """Keep-last table of a stream: each batch is merged with what is there and written as a new version."""
-    spark, root = stream.sparkSession, _shared(stream.sparkSession, name)
-    versions: list[str] = []
+def upsert_stream(stream: DataFrame, keys: list[str], order: list[Column], name: str, path: str | None = None) -> DataFrame:
+    """Keep-last table of a stream: each batch is merged with the version before it and written as a new one.
+
+    With a path of the caller's, a later run merges into what an earlier one left; a
+    batch that is run again replaces its own version.
+    """
+    spark = stream.sparkSession
+    root = path or fresh_path(spark, f"stream-{name}")
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(stream.schema).parquet(versions[-1]) if versions else batch.limit(0)
-        path = f"{root}/version-{number}"
-        latest(old.unionByName(batch), keys, order).write.mode("overwrite").parquet(path)
-        if path not in versions:
-            versions.append(path)
+        before = {k: v for k, v in versions(spark, root).items() if k < number}
+        old = spark.read.schema(stream.schema).parquet(before[max(before)]) if before else batch.limit(0)
+        latest(old.unionByName(batch), keys, order).write.mode("overwrite").parquet(f"{root}/version-{number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", root + "/offsets").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+    return _newest(stream, root)
 
 
 def backoff(attempt: int, base: float = 1.0, factor: float = 2.0, most: float = 60.0, jitter: float = 0.0, seed: int | None = None) -> float:

@@ -10,6 +10,7 @@ from skein.functions import address as A
 from skein.functions import parsers as P
 from skein.functions import text as T
 from skein.operators import entity as E
+from skein.operators import filters as L
 from skein.operators import recommend as R
 from skein.plans import flow_queries
 from skein.sources import readers, sinks
@@ -41,10 +42,77 @@ def test_contacts(spark):
     assert values(spark, lambda c: P.hash_contact(c, "s"), ["0123", "a1b2c3d4e5f60718", None]) == [None, "a1b2c3d4e5f60718", None]
 
 
-def test_address():
-    assert A.street_of("Số 5, ngõ 102/35 Trường Chinh, Phường Phương Mai") == ("Trường Chinh", None, "102")
-    assert A.street_of("168/553 Giải Phóng") == ("Giải Phóng", None, "553")
-    assert A.city_of("12 Lê Lợi, TP. Hồ Chí Minh") == "Hồ Chí Minh"
+def test_rents(spark):
+    texts = ["3tr500", "2,5 triệu", "2.4 - 3 triệu", "3500k", "3.500.000", "4 triệu", "3k/số", "200000", "12tr5", "1.800k", "xx triệu", "2tr", None]
+    assert values(spark, P.normalize_rent, texts) == [3_500_000, 2_500_000, 2_400_000, 3_500_000, 3_500_000, 4_000_000, None, None, 12_500_000, 1_800_000, None, 2_000_000, None]
+    lists = ["Giá 2,4-3tr, cọc 1 tháng 2500k, sdt 0917831531", "phòng 25m2 tầng 3, 3m5 hoặc 3.500.000đ", "12tr5 và 1.800k, 100.000đ", "không rõ"]
+    assert values(spark, P.extract_rents, lists) == [[2_400_000, 3_000_000, 2_500_000], [3_500_000], [12_500_000, 1_800_000], []]
+    sums = values(spark, P.parse_price_vnd, ["800 nghìn/tháng", "1 triệu 200 nghìn", "3.5 triệu/tháng", "Giá thương lượng", "3,5 tr", None])
+    assert [(x.value, x.negotiable) for x in sums] == [(8e5, False), (1.2e6, False), (3.5e6, False), (None, True), (3.5e6, False), (None, False)]
+
+
+# Addresses in the forms that listings use, with their street, road word and alley.
+ADDRESSES = {
+    "Tạ Quang Bửu, Phường Bách Khoa, Quận Hai Bà Trưng, Hà Nội": ("Tạ Quang Bửu", None, None),
+    "12/3, Phố Xã Đàn, Phường Kim Liên, Quận Đống Đa, Hà Nội": ("Xã Đàn", "Phố", "3"),
+    "Xã Đàn, Phường Kim Liên, Quận Đống Đa, Hà Nội": ("Xã Đàn", None, None),
+    "Đường Đường Láng, Quận Đống Đa, Hà Nội": ("Láng", "Đường", None),
+    "Ngõ Hoàng An, Quận Đống Đa, Hà Nội": ("Ngõ Hoàng An", None, None),
+    "Ngõ 580 Trường Chinh": ("Trường Chinh", None, "580"),
+    "Số 104 ngách 49/25 ngõ 165 dương quảng hàm": ("dương quảng hàm", None, "165"),
+    "Số nhà 21, ngõ 2/27, đường Phương Canh": ("Phương Canh", "Đường", "2"),
+    "19A/15/100/250 KIM GIANG": ("KIM GIANG", None, "250"),
+    "số nhà 25 ngách 46 Linh Quang": ("Linh Quang", None, None),
+    "Số 33B Mặt phố Tôn Đức Thắng": ("Tôn Đức Thắng", "Phố", None),
+    "102 Khuất Duy Tiến": ("Khuất Duy Tiến", None, None),
+    "Tổ 12 Yên Nghĩa": ("Yên Nghĩa", None, None),
+    "Số 21/5 Hoàng Cầu": ("Hoàng Cầu", None, "5"),
+    "số 6 ngõ 16 khu tập thể thủy sản (đi ngõ 94 Cầu Bươu vào)": ("khu tập thể thủy sản", None, "16"),
+    "Số 5, ngõ 102/35 Trường Chinh, Phường Phương Mai": ("Trường Chinh", None, "102"),
+    "168/553 Giải Phóng": ("Giải Phóng", None, "553"),
+    "": (None, None, None),
+}
+
+
+def test_streets():
+    assert {a: A.street_of(a) for a in ADDRESSES} == ADDRESSES and A.street_of(None) == (None, None, None)
+
+
+def test_cities():
+    told = {"12 Lê Lợi, TP. Hồ Chí Minh": "Hồ Chí Minh", "12 Nguyễn Huệ, TP.HCM": "Hồ Chí Minh", "Trần Phú, Phường Mộ Lao, Quận Hà Đông, Hà Nội": "Hà Nội", "102 Khuất Duy Tiến": "Hà Nội", None: "Hà Nội"}
+    assert {a: A.city_of(a) for a in told} == told
+
+
+def test_address_candidates(spark):
+    said = lambda *x: [(c.level, c.query) for c in A.candidates(*x)]
+    found = A.candidates("Ngõ 580 Trường Chinh", "Phường Kim Liên", "Quận Đống Đa")
+    assert [(c.level, c.query) for c in found] == [
+        ("alley", "Ngõ 580 Trường Chinh, Hà Nội"), ("street", "Trường Chinh, Hà Nội"), ("street", "Phố Trường Chinh"), ("street", "Đường Trường Chinh"),
+        ("ward", "Phường Kim Liên, Hà Nội"), ("ward", "Kim Liên, Hà Nội"), ("district", "Quận Đống Đa, Hà Nội"),
+    ]
+    assert all(c.district == "Quận Đống Đa" for c in found[:-1]) and found[-1].district is None
+    assert said(None, None, None) == []
+    assert said("Đường Lê Trọng Tấn Thanh Xuân, Quận Thanh Xuân, Hà Nội", None, "Quận Thanh Xuân")[:2] == [("street", "Đường Lê Trọng Tấn, Hà Nội"), ("street", "Phố Lê Trọng Tấn")]
+    assert said("Cầu Giấy", None, "Quận Cầu Giấy")[0] == ("street", "Cầu Giấy, Hà Nội")
+    far = A.candidates("số 35 Lê Văn Chí, Linh Xuân, Hồ Chí Minh", "Linh Xuân", None)
+    assert [(c.level, c.query) for c in far] == [("street", "Lê Văn Chí, Hồ Chí Minh"), ("street", "Phố Lê Văn Chí"), ("street", "Đường Lê Văn Chí"), ("ward", "Linh Xuân, Hồ Chí Minh"), ("city", "Hồ Chí Minh, Việt Nam")]
+    assert all(c.city == "Hồ Chí Minh" and c.district is None for c in far)
+    d = spark.createDataFrame([("Ngõ 580 Trường Chinh", "Phường Kim Liên", None), (None, None, None)], "a string, w string, d string")
+    assert A.with_candidates(d, "a", "w", "d").count() == 6
+
+
+def test_room_validity(spark):
+    def of(title, price=3.5e6, **more):
+        d = spark.createDataFrame([(title, price)], "t string, p double").select(L.room_validity(F.col("t"), F.col("p"), **more).alias("v"))
+        return d.first().v.valid
+
+    assert of("Cho thuê phòng trọ sinh viên Cầu Giấy giá rẻ", max_price=6e6) and of("Phòng trọ studio full đồ", 6e6, max_price=6e6) and not of("Phòng trọ cao cấp", 7e6, max_price=6e6)
+    told = F.lit("Thỏa thuận")
+    assert of("Phòng trọ", None, max_price=6e6, price_text=told) and not of("Phòng trọ", None, max_price=6e6, price_text=told, allow_negotiable=False) and not of("Phòng trọ", None, max_price=6e6) and not of("Phòng trọ", -1.0, max_price=6e6)
+    for bad in ("Cho thuê căn hộ cao cấp 2PN Goldmark City", "Cho thuê nhà nguyên căn 4 tầng ngõ rộng ô tô đỗ", "Cho thuê biệt thự khu đô thị Thanh Hà", "Cho thuê văn phòng mặt phố Cầu Giấy"):
+        assert not of(bad)
+    for good in ("Cho thuê phòng trọ khép kín full đồ Quan Hoa Cầu Giấy", "Phòng trọ view biệt thự", "Phòng đẹp trong khu biệt thự Thanh Hà", "Nhà của villager", None):
+        assert of(good)
 
 
 def adverts(spark, texts, **more):
@@ -127,3 +195,28 @@ def test_streams_write_every_window(spark, sf_dir, tmp_path, kind):
     assert rows(query(spark, str(tmp_path))) == want
     by_file = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert rows(V.run_whole(of(by_file), "by-file")) == want
+
+
+def test_streams_go_on_where_they_stopped(spark, sf_dir, tmp_path):
+    """A second run over the same paths takes the new file only, and ends with the same table as one run over all."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("part", F.col("event_id") % 2)
+    order = [F.col("ts").desc(), F.col("event_id").desc()]
+    folder = f"{tmp_path}/events"
+    for part in (0, 1):
+        events.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+        stream = V.event_stream(spark, folder)
+        table = V.upsert_stream(stream, ["user_id", "event_type"], order, "u", f"{tmp_path}/upserts")
+        counts = V.run_whole(stream.groupBy("event_type").agg(F.count("*").alias("n")), "c", f"{tmp_path}/counts")
+        appended = V.run_to_table(stream.select("event_id"), "a", path=f"{tmp_path}/appended")
+        seen = events.where(F.col("part") <= part)
+        assert appended.count() == seen.count()
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, seen.groupBy("event_type").count().collect()))
+        want = V.latest(seen, ["user_id", "event_type"], order)
+        assert sorted(r.event_id for r in table.collect()) == sorted(r.event_id for r in want.collect())
+
+
+def test_quality_marks_and_null_columns(spark):
+    rows = [("Pass phòng cho nữ", None, "12 Phố X, Quận Đống Đa", "Quận Đống Đa"), ("Phòng gần Cầu Giấy", "", "Phố Y, Phường Z", "Quận Ba Đình"), (None, None, None, None)]
+    d = spark.createDataFrame(rows, "title string, description string, address string, district string")
+    got = [tuple(r)[4:] for r in R.with_quality_marks(d).collect()]
+    assert got == [(0.0, 0.0, 1.0, 1.0), (1.0, 1.0, 0.0, 0.0), (1.0, 1.0, 0.0, 1.0)]
