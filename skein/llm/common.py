@@ -11,22 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+from ..shared import shared_dir
 
-    Only where the session names none (tests, a single machine) is a local
-    folder chosen and set.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not told:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        told = f"/tmp/checkpoints/skein-{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(told)
-    return told.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:

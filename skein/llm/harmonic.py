@@ -16,6 +16,8 @@ columns are not read.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import sys
 import zlib
 from array import array
@@ -104,58 +106,69 @@ def best_fit(pieces: list[tuple[int, object]], capacity: int, first_id: int):
         bisect.insort(room, (free - length, seq))
 
 
-#: Signs that may follow a word of letters; with what may come before, a byte-level pattern takes them as a match of their own.
-TAIL = ".,;:!?\"')(*%&$#"
-#: Letters below this are letters to every version of Unicode.
-OLD_LETTERS = "\u0250"
+# Fixed value: how a byte-level pre-tokenizer cuts a text.
+BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of these characters only, whose classes every version of Unicode agrees on, are encoded by ranks.
+PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]*")
 
 
-def _encoder(path: str):
-    """(chunk cache, encoder of a whole text, special tokens); ids as little-endian unsigned 32-bit integers.
+def _by_ranks(tok):
+    """The tokenizer as ranks of byte strings, which gives the same ids several times as fast; None if it is no plain byte-level BPE."""
+    import tiktoken
+    from tokenizers import models, pre_tokenizers
 
-    A new chunk that is a blank, letters and signs is a word and a tail to a
-    byte-level pattern: these two go to the model, without the pre-tokenizer.
-    """
+    if tok.normalizer is not None or type(tok.model) is not models.BPE or type(tok.pre_tokenizer) is not pre_tokenizers.ByteLevel:
+        return None
+    told = json.loads(tok.to_str())
+    model, cut = told["model"], told["pre_tokenizer"]
+    if cut["add_prefix_space"] or not cut.get("use_regex", True) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")):
+        return None
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    if min(ids, default=0) < 0 or any(x >= y for x, y in zip(ids, ids[1:])):
+        return None  # ranks are ids only if later merges have larger ones
+    # printable bytes spell themselves, the others the letters from U+0100 on
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
+    made = {a + b for a, b in pairs}
+    ranks = {bytes(byte_of[c] for c in name): i for name, i in model["vocab"].items() if name in made or (len(name) == 1 and name in byte_of)}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _encoder(path: str):
+    """(texts to their ids as little-endian unsigned 32-bit integers; None to none), for one worker."""
 
     def make():
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
         if sys.byteorder == "little" and array("I").itemsize == 4:
             pack = lambda ids: array("I", ids).tobytes()
         one = lambda text: pack(tok.encode(text, add_special_tokens=False).ids)
-        many = lambda chunks: [pack(x.ids) for x in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        cache = ChunkCache(lambda chunks: [pack(x.ids) for x in tok.encode_batch_fast(chunks, add_special_tokens=False)], b"".join)
         special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        plain = tok.normalizer is None and type(tok.pre_tokenizer) is pre_tokenizers.ByteLevel and not tok.pre_tokenizer.add_prefix_space
-        if not plain:
-            return ChunkCache(many, b"".join), one, special
-
-        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in [32, *range(33, ord(OLD_LETTERS))] if c == 32 or chr(c).isalpha()}
-        tokenize = tok.model.tokenize
-        tails = {"": b""}
-
-        def encode(chunks: list[str]) -> list[bytes]:
-            out, rest = [], []
-            for k, chunk in enumerate(chunks):
-                word = chunk.rstrip(TAIL)
-                if word[:1] == " " and word[1:].isalpha() and max(word) < OLD_LETTERS:
-                    tail = chunk[len(word) :]
-                    if tail not in tails:
-                        tails[tail] = one(tail)
-                    out.append(pack([t.id for t in tokenize(word.translate(letters))]) + tails[tail])
+        by_ranks = _by_ranks(tok)
+
+        def encode(texts: list[str | None]) -> list[bytes]:
+            out, others = [b""] * len(texts), []
+            for k, text in enumerate(texts):
+                if not text:
+                    continue
+                if any(x in text for x in special):
+                    out[k] = one(text)
+                elif by_ranks and PLAIN.fullmatch(text):
+                    out[k] = pack(by_ranks(text))
                 else:
-                    out.append(b"")
-                    rest.append(k)
-            for k, value in zip(rest, many([chunks[k] for k in rest]), strict=True):
+                    others.append(k)
+            for k, value in zip(others, cache([texts[k] for k in others]), strict=True):
                 out[k] = value
             return out
 
-        return ChunkCache(encode, b"".join), one, special
+        return encode
 
     return worker_memo("harmonic", path, make)
 
@@ -179,7 +192,7 @@ def pack_documents(
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def first(batches):
-        cache, one, special = _encoder(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         worker = TaskContext.get().partitionId()
         filler, kind = Filler(worker << 32), None
         names = [id_col, *_NAMES, "worker", *(["ids"] if keep_ids else [])]
@@ -195,12 +208,10 @@ def pack_documents(
             kind = batch.column(0).type
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = part.column(1).to_pylist()
-                odd = {k for k, t in enumerate(texts) if t and any(s in t for s in special)}
-                coded = cache([None if k in odd else t for k, t in enumerate(texts)])
+                coded = encode(part.column(1).to_pylist())
                 rows, ids, payload = [], [], []
-                for k, (doc, body) in enumerate(zip(part.column(0).to_pylist(), coded, strict=True)):
-                    body = (one(texts[k]) if k in odd else body) + end
+                for doc, body in zip(part.column(0).to_pylist(), coded, strict=True):
+                    body += end
                     total, start = len(body) // 4, 0
                     for n in cut(total, capacity):
                         own = body[4 * start : 4 * (start + n)]

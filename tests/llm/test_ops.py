@@ -44,10 +44,14 @@ def test_chunks_are_encoded_as_by_the_library():
 
     path = public.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    cache, _, _ = harmonic._encoder(path)
+    encode = harmonic._encoder(path)
+    assert harmonic._by_ranks(tok)
     texts = ["Plain words, and more (words). Don't we'll it's' \"so\"; x*& a%$# 'tis rock'n'roll's", "Größe, naïve! élan? ŒUVRE: ªº µm ǅ ŉ ƻ ɏ ɐ ʼa", "a1 b2, c.d e-f ... ,, ' 's ''t !a é1", "tail.\n next\n\n  two  blanks ", "日本 語, Ελλάδα. русский! न म", " lead", ".", " .", "x" * 3000 + ", y"]
-    texts += [" ".join(texts)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in cache(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += [" ".join(texts), "a <|endoftext|> b", "It's we're I'd they've 'S 'LL\r\n\t x\u00a0y \x1c \x85 end  "]
+    rng = np.random.default_rng(6)
+    signs = list("aAbé ÿ\u0151Ǆ  \n\t.,'s1²½!-_\u024f")
+    texts += ["".join(rng.choice(signs, rng.integers(1, 60))) for _ in range(300)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing_keeps_ids_beside_null_ones(spark):
@@ -363,3 +367,39 @@ def test_language_grams_and_decision_against_brute_force(spark):
     assert right >= 0.95 * len(rows) - 3
     empty = langmask.predict(d.limit(0), langmask.learn(d))
     assert empty.count() == 0
+
+
+def test_line_chunks_odd_rows(spark):
+    """Clashing columns, an empty table, ids that repeat, a very long text."""
+    long = " ".join(f"Sentence {i} of a very long text stands here." for i in range(20_000))
+    d = spark.createDataFrame([(1, long, "a"), (2, "own words stand first.\n" + long, "b"), (3, "x y", "c"), (3, "x y", "d")], "doc_id long, text string, key string").selectExpr("*", "key AS h", "key AS line", "key AS chunks")
+    got = {r.doc_id: r for r in linechunks.remove_repeated(d, carry=("key", "line")).collect()}
+    assert got[1].text == long and got[1].n_lines == 20_000 and got[2].n_removed > 19_900 and got[2].line == "b"
+    assert linechunks.remove_repeated(d.limit(0)).count() == 0 and linechunks.remove_repeated(d).count() == 4
+
+
+def test_fingerprints_odd_rows(spark):
+    rows = [(None, "A line.\nB line."), (None, "C line."), (7, "same\ntext"), (7, "same\ntext"), (1, "word " * 50_000)]
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, bucket int").selectExpr("*", "1 AS h", "'x' AS s")
+    got = iblt.fingerprints(d).collect()
+    order = [1, 7, 7, None, None]
+    assert sorted(map(str, order)) == sorted(str(r.doc_id) for r in got) and {r.near_next for r in got if r.doc_id == 7} == {1.0, 0.0}
+
+
+def test_lattice_odd_rows(spark):
+    path = public.path("piece_bpe_32k.model")
+    d = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (2, "z" * 20_000, "w"), (None, None, "v")], "doc_id long, text string, word string").selectExpr("*", "1 AS id", "2 AS row", "3 AS c")
+    got = lattice.score_documents(d, path).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id == 1}) == 1 and all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert lattice.score_documents(d.limit(0), path).count() == 0
+
+
+def test_topk_empty_table_and_clashing_columns(spark):
+    d = spark.createDataFrame([(50, [1.0, 0.0], "x"), (3, [0.5, 0.5], "y")], "vec_id long, embedding array<double>, block string").selectExpr("*", "1 AS dim", "2 AS v")
+    assert [(r.query_id, r.vec_id, r.score) for r in topk.top_k(d).collect()] == [(50, 3, 256 * 128)]
+    assert topk.top_k(d.limit(0)).count() == 0
+
+
+def test_warc_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "u", "x" * 200, "a"), (2, "u", "x" * 200, "b")], "page_id long, url string, html string, payload string").selectExpr("*", "1 AS record_type", "2 AS segment")
+    assert {(r.page_id, r.record_type) for r in warc.round_trip(d).collect()} == {(1, "response"), (2, "revisit")}
