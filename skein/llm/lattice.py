@@ -110,35 +110,91 @@ def word_log_p(word: str, m: Pieces) -> float:
 SPAN_BITS, PIECE_BITS = 7, 21
 
 
-def lattice_of(words: list[str], place: dict[str, int], size: int) -> tuple[np.ndarray, np.ndarray, str]:
+_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+SLOT_BITS = 20
+
+
+def _further(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one code point longer."""
+    x = h * _GOLDEN + points.astype(np.uint64) + np.uint64(1)
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+class PieceTable:
+    """Piece numbers by the 64-bit hash of the text, for arrays of hashes: -1 for beginnings of pieces, -2 for anything else."""
+
+    def __init__(self, names: dict[str, int]):
+        pieces = {x: i for x, i in names.items()}
+        for x in names:
+            for k in range(1, len(x)):
+                pieces.setdefault(x[:k], -1)
+        self.longest = max(map(len, names), default=0)
+        lengths = np.array([len(x) for x in pieces])
+        points = np.zeros((len(pieces), self.longest), np.uint32)
+        for k, x in enumerate(pieces):
+            points[k, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = np.zeros(len(pieces), np.uint64)
+        for j in range(self.longest):
+            longer = lengths > j
+            h[longer] = _further(h[longer], points[longer, j])
+        order = np.argsort(h)
+        self.hashes, self.numbers = h[order], np.array(list(pieces.values()), np.int64)[order]
+        slots = (self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.first = np.searchsorted(slots, np.arange((1 << SLOT_BITS) + 1))
+        self.probes = int(np.diff(self.first).max(initial=0))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        out = np.full(len(h), -2, np.int64)
+        for _ in range(self.probes):
+            here = np.flatnonzero(at < end)
+            if not len(here):
+                break
+            same = here[self.hashes[at[here]] == h[here]]
+            out[same] = self.numbers[at[same]]
+            at = at + 1
+        return out
+
+
+def lattice_of(words: list[str], table: PieceTable, size: int) -> tuple[np.ndarray, np.ndarray, str]:
     """Edges of the lattices of marked words by position and node, the words' lengths, and the characters that are no piece.
 
-    Nodes are the positions in all words, one word after another. place has each
-    piece's number, and -1 for the beginnings of pieces; the k-th character that is
-    no piece counts as piece size + k.
+    Nodes are the positions in all words, one word after another. All strings of one
+    length are looked up at once; only those that begin a piece go on to the next. The
+    k-th character that is no piece counts as piece size + k.
     """
-    edges: list[int] = []
-    levels: list[int] = []
-    chars: dict[str, int] = {}
-    add, add_level = edges.append, levels.append
-    node = 0
-    for word in words:
-        text = MARK + word
-        n = len(text)
-        for start in range(n):
-            if place.get(text[start], -1) < 0:
-                add((node + start + 1) << 28 | 1 << PIECE_BITS | chars.setdefault(text[start], size + len(chars)))
-                add_level(start + 1)
-            for end in range(start + 1, n + 1):
-                piece = place.get(text[start:end])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    add((node + end) << 28 | (end - start) << PIECE_BITS | piece)
-                    add_level(end)
-        node += n + 1
-    packed = np.array(edges, np.int64)
-    return packed[np.lexsort([packed, np.array(levels, np.int64)])], np.array([len(w) + 1 for w in words], np.int64), "".join(chars)
+    points = np.frombuffer("".join([MARK + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.array([len(w) + 1 for w in words], np.int64)
+    word = np.repeat(np.arange(len(words)), lengths)
+    position = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = lengths[word] - position
+    node = np.arange(len(points)) + word
+    edges, levels, chars = [], [], ""
+    at, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
+    for n in range(1, table.longest + 1):
+        inside = left[at] >= n
+        at, h = at[inside], h[inside]
+        if not len(at):
+            break
+        h = _further(h, points[at + n - 1])
+        found = table.find(h)
+        piece = found >= 0
+        own = at[piece]
+        edges.append((node[own] + n) << (SPAN_BITS + PIECE_BITS) | n << PIECE_BITS | found[piece])
+        levels.append(position[own] + n)
+        if n == 1:
+            other = at[~piece]
+            distinct, number = np.unique(points[other], return_inverse=True)
+            chars = distinct.tobytes().decode("utf-32-le", "surrogatepass")
+            edges.append((node[other] + 1) << (SPAN_BITS + PIECE_BITS) | 1 << PIECE_BITS | (size + number))
+            levels.append(position[other] + 1)
+        goes_on = found > -2
+        at, h = at[goes_on], h[goes_on]
+    packed, level = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (edges, levels))
+    return packed[np.lexsort([packed, level])], lengths, chars
 
 
 class Chunk:
@@ -240,17 +296,13 @@ def learn_pieces(words: DataFrame, ends: int, model_path: str) -> tuple[Pieces,
     if max(len(x) for x in names if x) >= 1 << SPAN_BITS:
         raise ValueError("a piece of the model is too long")
     byte_ids = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(size) if sp.is_byte(i)}
-    place = {x: i for i, x in enumerate(names) if x is not None}
-    for x in list(place):
-        for k in range(1, len(x)):
-            place.setdefault(x[:k], -1)
-    told = context.broadcast((sp.serialized_model_proto(), place))
+    told = context.broadcast((sp.serialized_model_proto(), PieceTable({x: i for i, x in enumerate(names) if x is not None})))
     key = uuid.uuid4().hex
     fields = ["words", "lengths", "counts", "edges", "chars", "used", "starts"]
     kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary())
 
     def build(batches):
-        proto, place = told.value
+        proto, table = told.value
         own = worker_memo("lattice", key, lambda: sentencepiece.SentencePieceProcessor(model_proto=proto))
         for batch in batches:
             all_words, all_counts = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
@@ -259,7 +311,7 @@ def learn_pieces(words: DataFrame, ends: int, model_path: str) -> tuple[Pieces,
                 encoded = own.encode(some, num_threads=1)
                 starts = np.bincount(np.array([x for ids in encoded for x in ids], np.int64), np.repeat(counts, [len(ids) for ids in encoded]), size)
                 used = np.flatnonzero(starts)
-                edges, lengths, chars = lattice_of(some, place, size)
+                edges, lengths, chars = lattice_of(some, table, size)
                 row = ("\n".join(some), lengths.tobytes(), counts.tobytes(), edges.tobytes(), chars, used.tobytes(), starts[used].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=fields)
 
