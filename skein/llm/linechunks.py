@@ -204,21 +204,22 @@ def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = durable(each.join(shared, "key").select("id", "start", "n"), "hits")
     drop_durable(each)
     at = hits.groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("at"))
-    spans = F.transform("at", lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.array_join(F.slice(F.col("ls"), w["start"], w["n"]), "").alias("span")))
-    texts = known.select("id", "text").join(at, "id").select("id", "at", lines_of(F.col("text")).alias("ls"))
-    told = durable(texts.select("id", F.explode(spans).alias("w")).select("id", "w.*"), "spans")
+    # lines are bound once: a column of them would be worked out again for each window that looks into it
+    span = lambda ls, w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.array_join(F.slice(ls, w["start"], w["n"]), "").alias("span"))
+    spans = _once(lines_of(F.col("text")), lambda ls: F.transform("at", lambda w: span(ls, w)))
+    told = durable(known.select("id", "text").join(at, "id").select("id", F.inline(spans)), "spans")
     first = durable(told.groupBy("span").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last").select("span", "first"), "firsts")
     again = told.join(first, "span").where(F.struct("id", "start") > F.col("first"))
     gone = again.select("id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("line")).groupBy("id").agg(F.collect_set("line").alias("gone"))
 
-    lines = lines_of(F.col("text"))
     # array_except is by hash: no line is looked up in a list
-    cut = rows.join(gone, "id", "left").select("id", "text", "gone", "other", lines.alias("ls"))
-    left = F.array_except(F.sequence(F.lit(1), F.size("ls")), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("ls"), i - 1)), ""))
+    left = lambda ls: _once(F.array_except(F.sequence(F.lit(1), F.size(ls)), F.col("gone")), lambda at: F.struct(F.array_join(F.transform(at, lambda i: F.get(ls, i - 1)), "").alias("text"), F.size(ls).alias("n"), F.size(at).alias("kept")))
+    lines = lines_of(F.col("text"))
+    untouched = _once(F.size(lines), lambda n: F.struct(F.col("text").alias("text"), n.alias("n"), n.alias("kept")))
+    cut = rows.join(gone, "id", "left").select("id", "other", F.when(F.col("gone").isNull(), untouched).otherwise(_once(lines, left)).alias("x"))
     return cut.select(
-        F.col("id").alias(id_col), text.alias(text_col), F.size("ls").cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("ls") - F.size(left)).cast("long").alias("n_removed"), *(F.col("other")[c].alias(c) for c in carry),
+        F.col("id").alias(id_col), F.col("x.text").alias(text_col), F.col("x.n").cast("long").alias("n_lines"),
+        (F.col("x.n") - F.col("x.kept")).cast("long").alias("n_removed"), *(F.col("other")[c].alias(c) for c in carry),
     )
 
 
